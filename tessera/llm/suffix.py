@@ -28,8 +28,8 @@ _STARTS = K - ANCHOR + 1
 #: A string has so many bytes besides its anchor on one side of it at least.
 _ARM = (K - ANCHOR + 1) // 2
 _GRAM = ANCHOR + _ARM
-#: Bytes of documents that are worked on at once, and of segments in a bucket's share.
-BLOCK, SHARE = 8 << 20, 4 << 20
+#: Bytes of documents that are worked on at once, of segments in a bucket's share, and of documents for each bucket.
+BLOCK, SHARE, BUCKET = 4 << 20, 2 << 20, 16 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _LEVEL = 3
@@ -81,18 +81,18 @@ class Prefixes:
         return low
 
     def compare(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """-1, 0 or 1: the order of the K bytes at x and at y."""
-        n = self.common(x, y)
-        at = np.minimum(n, K - 1)
-        return np.where(n >= K, 0, np.sign(self.data[x + at].astype(np.int16) - self.data[y + at].astype(np.int16)))
+        """-1 or 1: the order of the K bytes at x and at y, which differ."""
+        at = np.minimum(self.common(x, y), K - 1)
+        return np.sign(self.data[x + at].astype(np.int16) - self.data[y + at].astype(np.int16))
 
 
-def suffix_sort(prefixes: Prefixes, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_sort(prefixes: Prefixes, at: np.ndarray, group: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the suffixes `at` by group and then by their first K bytes, and which of them have the K bytes of the
-    one before. group must not separate equal strings.
+    one before. whole: the hashes of those bytes; group must not separate equal strings.
 
     Mergesort of all groups at once: in each round every suffix finds its place in the sorted neighbour block of its
-    group by binary search, each step one comparison by common extension.
+    group by binary search. A comparison is one of the hashes of all K bytes, and where those differ, one of the first
+    bytes behind the common extension.
     """
     order = np.argsort(group, kind="stable")
     n = len(order)
@@ -103,39 +103,51 @@ def suffix_sort(prefixes: Prefixes, at: np.ndarray, group: np.ndarray) -> tuple[
     size = np.diff(np.append(first, n))
     start = np.repeat(first, size)
     end = start + np.repeat(size, size)
-    width, slots = 1, np.arange(n)
-    while width < size.max():
-        live = slots[(end - start) > width]
+    # A group whose hashes of all K bytes are the same is in order as it is.
+    mixed = np.repeat(np.minimum.reduceat(whole[order], first) != np.maximum.reduceat(whole[order], first), size)
+    width, slots = 1, np.flatnonzero(mixed)
+    while len(slots) and width < (end - start)[slots].max():
+        live = slots[(end - start)[slots] > width]
         rank = live - start[live]
         block = rank // width
         left = block % 2 == 0
         base = start[live] + (block ^ 1) * width
         low, high = np.minimum(base, end[live]), np.minimum(base + width, end[live])
         base = low.copy()
-        mine = at[order[live]]
+        mine = order[live]
         open_ = np.flatnonzero(low < high)
         while len(open_):
             middle = (low[open_] + high[open_]) >> 1
-            sign = prefixes.compare(at[order[middle]], mine[open_])
-            before = np.where(left[open_], sign < 0, sign <= 0)
+            x, y = order[middle], mine[open_]
+            before = ~left[open_]
+            differ = np.flatnonzero(whole[x] != whole[y])
+            before[differ] = prefixes.compare(at[x[differ]], at[y[differ]]) < 0
             low[open_] = np.where(before, middle + 1, low[open_])
             high[open_] = np.where(before, high[open_], middle)
             open_ = open_[low[open_] < high[open_]]
         place = start[live] + (block // 2) * 2 * width + (rank - block * width) + (low - base)
         moved = order.copy()
-        moved[place] = order[live]
+        moved[place] = mine
         order, width = moved, width * 2
     same = np.zeros(n, bool)
     x, y = at[order[1:]], at[order[:-1]]
-    near = np.flatnonzero(g[1:] == g[:-1])
-    equal = near[prefixes.common(x[near], y[near]) >= K]
-    for a in range(0, len(equal), 1 << 15):  # collisions of hashes end here
-        i = equal[a : a + (1 << 15), None]
-        span = np.arange(K)
-        same[1 + i[:, 0]] = (prefixes.data[x[i] + span] == prefixes.data[y[i] + span]).all(axis=1)
+    equal = np.flatnonzero((g[1:] == g[:-1]) & (whole[order[1:]] == whole[order[:-1]]))
+    same[1 + equal] = alike(prefixes.data, x[equal], y[equal], np.full(len(equal), K))
     return order, same
 
 
+def alike(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which stretches of some lengths at x and y have the same bytes: collisions of hashes end here."""
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(x), 1 << 14):
+        n = length[a : a + (1 << 14)]
+        first = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(first, n)
+        other = data[np.repeat(x[a : a + (1 << 14)], n) + step] != data[np.repeat(y[a : a + (1 << 14)], n) + step]
+        out[a : a + (1 << 14)] = np.add.reduceat(other, first, dtype=np.int64) == 0
+    return out
+
+
 @dataclass
 class Segments:
     """Stretches of documents: bytes one after the other, lengths, the anchor's place in each, the document's row in
@@ -163,34 +175,51 @@ def _repeated(values: np.ndarray, real: np.ndarray) -> np.ndarray:
     return out
 
 
-def later_strings(prefixes: Prefixes, start: np.ndarray, s_length: np.ndarray, anchor: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For segments at start in prefixes.data, of documents `ids`: the segment, offset and lateness of every string that
-    may have a twin; late: an equal string stands in a document with a smaller id.
+def later_segments(prefixes: Prefixes, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which segments as a whole also stand in a document with a smaller id."""
+    whole = mix(prefixes.of(start, length) + length.astype(np.uint64) * np.uint64(_BASE))
+    order = np.lexsort((ids, whole))
+    h = whole[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    head = np.repeat(order[first], np.diff(np.append(first, len(h))))
+    later = np.flatnonzero(ids[order] > ids[head])
+    x, y = order[later], head[later]
+    out = np.zeros(len(start), bool)
+    out[x] = (length[x] == length[y]) & alike(prefixes.data, start[x], start[y], np.minimum(length[x], length[y]))
+    return out
+
+
+def later_strings(prefixes: Prefixes, start: np.ndarray, s_length: np.ndarray, anchor: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and offset of every string that also stands in a document with a smaller id, for segments at start in
+    prefixes.data, of documents `ids`.
 
-    Two equal strings share the anchor and _ARM bytes on one side of it, so segments whose two such stretches are unique
-    have no twins.
+    Segments that a smaller document has as a whole are late as a whole, and left out then. Two equal strings share the
+    anchor and _ARM bytes on one side of it, so segments whose two such stretches are unique have no twins.
     """
+    gone = later_segments(prefixes, start, s_length, ids)
     a = start + anchor
-    has_left, has_right = anchor >= _ARM, anchor + _GRAM <= s_length
+    has_left, has_right = ~gone & (anchor >= _ARM), ~gone & (anchor + _GRAM <= s_length)
     left = prefixes.of(np.where(has_left, a - _ARM, 0), np.where(has_left, _GRAM, 0))
     right = prefixes.of(np.where(has_right, a, 0), np.where(has_right, _GRAM, 0))
-    twin = np.flatnonzero(_repeated(left, has_left) | _repeated(right, has_right))
-    n = s_length[twin] - (K - 1)
-    seg = np.repeat(twin, n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    seg, offset = strings_of(np.flatnonzero(_repeated(left, has_left) | _repeated(right, has_right)), s_length)
     at = start[seg] + offset
     whole = prefixes.of(at, K)
     may = np.flatnonzero(_repeated(whole, np.ones(len(whole), bool)))
     seg, offset, at, whole = seg[may], offset[may], at[may], whole[may]
-    order, same = suffix_sort(prefixes, at, mix(whole) >> np.uint64(16))
-    if not len(order):
-        return seg, offset, np.zeros(0, bool)
-    owner = ids[seg[order]]
-    first = np.flatnonzero(~same)
-    least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(order))))
+    order, same = suffix_sort(prefixes, at, mix(whole) >> np.uint64(16), whole)
     late = np.zeros(len(order), bool)
-    late[order] = owner > least
-    return seg, offset, late
+    if len(order):
+        owner, first = ids[seg[order]], np.flatnonzero(~same)
+        least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(order))))
+        late[order] = owner > least
+    all_seg, all_offset = strings_of(np.flatnonzero(gone), s_length)
+    return np.concatenate([all_seg, seg[late]]), np.concatenate([all_offset, offset[late]])
+
+
+def strings_of(segments: np.ndarray, s_length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and offset of every string in some segments."""
+    n = s_length[segments] - (K - 1)
+    return np.repeat(segments, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def cut(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,24 +342,21 @@ def _send(parts: int):
             start, length, anchor = cut(data, doc)
             mine = doc[start]
             prefixes = Prefixes(data)
-            seg, offset, late = later_strings(prefixes, start, length, anchor, ids[mine])
+            seg, offset = later_strings(prefixes, start, length, anchor, ids[mine])
             del prefixes
             out_part, out_kind, out_blob = [], [], []
-            s, o, n = runs(seg[late], offset[late])
+            s, o, n = runs(seg, offset)
             for part, blob in _removals(ids[mine[s]], sums[mine[s]], shift[mine[s]] + start[s] + o, n, parts):
                 out_part.append(part), out_kind.append(1), out_blob.append(blob)
             # Segments without late strings travel whole, the others in the stretches between those.
             touched = np.zeros(len(start), bool)
-            touched[seg[late]] = True
+            touched[seg] = True
             some = np.flatnonzero(touched)
-            n_all = length[some] - (K - 1)
-            each = np.repeat(some, n_all)
-            off = np.arange(n_all.sum()) - np.repeat(np.cumsum(n_all) - n_all, n_all)
+            each, off = strings_of(some, length)
+            base = np.zeros(len(start), np.int64)
+            base[some] = np.cumsum(length[some] - (K - 1)) - (length[some] - (K - 1))
             gone = np.zeros(len(each), bool)
-            if len(some):
-                base = np.zeros(len(start), np.int64)
-                base[some] = np.cumsum(n_all) - n_all
-                gone[base[seg[late]] + offset[late]] = True
+            gone[base[seg] + offset] = True
             s, o, n = runs(each[~gone], off[~gone])
             whole = np.flatnonzero(~touched)
             a_start = np.concatenate([start[whole], start[s] + o])
@@ -373,8 +399,7 @@ def _meet(parts: int):
                 if not len(i):
                     continue
                 near = Prefixes(gather(data, start[i], length[i]))
-                seg, offset, late = later_strings(near, np.cumsum(length[i]) - length[i], length[i], anchor[i], ids[i])
-                s, o, n = runs(seg[late], offset[late])
+                s, o, n = runs(*later_strings(near, np.cumsum(length[i]) - length[i], length[i], anchor[i], ids[i]))
                 found.append((ids[i[s]], sums[i[s]], place[i[s]] + o, n))
             if found:
                 out += _removals(*(np.concatenate(c) for c in zip(*found)), parts)
@@ -447,7 +472,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(12, -(-size // (2 * BLOCK)))
+    parts = max(12, -(-size // BUCKET))
     sent = rows.mapInArrow(_send(parts), "part long, kind int, blob binary")
     removed = sent.groupBy("part").applyInArrow(_meet(parts), "part long, blob binary")
     texts = rows.mapInArrow(_texts(parts), "part long, blob binary")

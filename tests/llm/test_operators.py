@@ -324,7 +324,7 @@ def test_repeats_across_blocks_and_pieces():
     assert covered == Counter({i: 1 for i in range(len(data) - 49) if doc[i] == doc[i + 49]})
     pre = suffix.Prefixes(data)
     at = np.arange(len(data) - 50)
-    order, same = suffix.suffix_sort(pre, at, np.zeros(len(at), np.int64))
+    order, same = suffix.suffix_sort(pre, at, np.zeros(len(at), np.int64), pre.of(at, 50))
     strings = [bytes(data[i : i + 50]) for i in order]
     assert strings == sorted(strings) and same.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
 
