@@ -1,17 +1,6 @@
-"""The registered queries and their SQL."""
+"""All registered queries of the engine and their SQL."""
 
-from __future__ import annotations
+from tessera.plans import business, relational
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") <= F.lit("2001-09-02").cast("timestamp_ntz"))
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("count_order"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pricing_summary": pricing_summary}
-SQL: dict[str, str] = {}
+QUERIES = relational.QUERIES | business.QUERIES
+SQL = relational.SQL | business.SQL
