@@ -7,6 +7,8 @@ that table; ids travel packed, as little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import base64
+import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -14,11 +16,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+from tokenizers import Tokenizer, models, pre_tokenizers
+
+from tessera.llm.common import text_blocks
 
 ENCODED = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())])
 #: Different matches whose ids a worker remembers at most; beyond that it forgets all and starts again.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Characters of texts that are split at once.
+TOGETHER = 1 << 19
 
 
 def byte_to_char() -> list[str]:
@@ -45,18 +51,19 @@ def _halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
 
 
 @lru_cache(maxsize=4)
-def tokenizer_json(path: str, pattern: str) -> str:
-    """The tokenizer of a file of ranks, as the library's JSON. Its size is that of the vocabulary, which is fixed."""
+def tokenizer_json(path: str) -> str:
+    """The tokenizer of a file of ranks for single matches of a pattern, as the library's JSON. Its size is that of the vocabulary, which is fixed."""
     ranks, chars = read_ranks(path), byte_to_char()
     name = {token: "".join(chars[b] for b in token) for token in ranks}
     merges = [tuple(name[half] for half in _halves(token, ranks)) for token in sorted(ranks, key=ranks.get) if len(token) > 1]
-    tokenizer = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=100_000))
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tokenizer = Tokenizer(models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=0))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # what it gets is one match
     return tokenizer.to_str()
 
 
 @lru_cache(maxsize=4)
 def _loaded(text: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core, not all of them
     return Tokenizer.from_str(text)
 
 
@@ -73,31 +80,43 @@ def _bytes_by_id(text: str) -> list[bytes]:
 class Words:
     """Ids and inner offsets of matches of the pattern, each encoded once by the library."""
 
-    def __init__(self, text: str, pattern: str):
-        self.tokenizer, self.split = _loaded(text), regex.compile(pattern).findall
+    def __init__(self, text: str, pattern: str, with_offsets: bool):
+        self.tokenizer, self.split, self.with_offsets = _loaded(text), regex.compile(pattern).findall, with_offsets
         self.ids: dict[str, bytes] = {}
         self.inner: dict[str, np.ndarray] = {}
 
-    def of(self, text: str) -> list[str]:
-        """The matches in text, all of which are then known."""
-        words = self.split(text)
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
+    def know(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > REMEMBERED:
             self.ids, self.inner = {}, {}
-            new = list(dict.fromkeys(words))
-        for e, w in zip(self.tokenizer.encode_batch(new, add_special_tokens=False), new):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-            self.inner[w] = np.array(e.offsets, "<u4").reshape(-1, 2)
-        return words
-
-    def encode(self, text: str, with_offsets: bool) -> tuple[int, bytes, bytes | None]:
-        words = self.of(text)
-        ids = b"".join(map(self.ids.__getitem__, words))
-        if not with_offsets:
-            return len(ids) // 4, ids, None
-        starts = np.cumsum([0, *map(len, words)])
-        spans = [self.inner[w] + np.uint32(s) for w, s in zip(words, starts)]
-        return len(ids) // 4, ids, (np.concatenate(spans).astype("<u4").tobytes() if spans else b"")
+            new = list(words)
+        if self.with_offsets:
+            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+                self.ids[w] = array("I", e.ids).tobytes()
+                self.inner[w] = np.array(e.offsets, "<u4").reshape(-1, 2)
+        else:
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                self.ids[w] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[tuple[int, bytes, bytes | None]]:
+        """Number of tokens, packed ids and packed offsets of each text."""
+        split = [self.split(t) for t in texts]
+        self.know(set().union(*split))
+        out = []
+        for words in split:
+            ids, spans = b"".join(map(self.ids.__getitem__, words)), None
+            if self.with_offsets:
+                starts = np.cumsum([0, *map(len, words)])
+                found = [self.inner[w] + np.uint32(s) for w, s in zip(words, starts)]
+                spans = np.concatenate(found).astype("<u4").tobytes() if found else b""
+            out.append((len(ids) // 4, ids, spans))
+        return out
+
+
+@lru_cache(maxsize=2)
+def _words(text: str, pattern: str, with_offsets: bool) -> Words:
+    """One for a worker, whose tasks share what it remembers."""
+    return Words(text, pattern, with_offsets)
 
 
 def encode(df: DataFrame, text_col: str, path: str, pattern: str, keep: list[str], with_offsets: bool = True) -> DataFrame:
@@ -108,17 +127,17 @@ def encode(df: DataFrame, text_col: str, path: str, pattern: str, keep: list[str
     no tokens. Whole texts are encoded; every different match goes to the library once. Rows that repeat stay; an empty
     table gives an empty one.
     """
-    model = df.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))
+    model = df.sparkSession.sparkContext.broadcast(tokenizer_json(path))
     rows = df.select(*keep, df[text_col].alias("_text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
-        words = Words(model.value, pattern)
+        words = _words(model.value, pattern, with_offsets)
         for b in batches:
-            texts = b.column(b.num_columns - 1)
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
-                made = zip(*(words.encode(t or "", with_offsets) for t in texts.slice(a, 500).to_pylist()))
+            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            for s, e in text_blocks(texts, TOGETHER):
+                part = b.slice(s, e - s)
+                made = zip(*words.encode(texts[s:e]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(made, ENCODED.types))], names=[*part.schema.names[:-1], *ENCODED.names])
 
     return rows.mapInArrow(run, f"{schema}, n_tokens long, ids binary, offsets binary")
@@ -128,14 +147,16 @@ def decode(df: DataFrame, ids_col: str, path: str, pattern: str, keep: list[str]
     """The columns `keep`, and decoded binary: the bytes of the packed ids, joined before anything reads them as
     characters, so that tokens that split a character join again; and text string, null where the bytes aren't UTF-8.
     Null ids give null; an id outside the vocabulary is an error."""
-    model = df.sparkSession.sparkContext.broadcast(tokenizer_json(path, pattern))
+    model = df.sparkSession.sparkContext.broadcast(tokenizer_json(path))
     rows = df.select(*keep, df[ids_col].alias("_ids_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
         table = _bytes_by_id(model.value)
         for b in batches:
-            out = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[*b.schema.names[:-1], "decoded"])
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                out = [None if x is None else b"".join(map(table.__getitem__, array("I", x))) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*part.schema.names[:-1], "decoded"])
 
     return rows.mapInArrow(run, f"{schema}, decoded binary").withColumn("text", F.try_validate_utf8(F.col("decoded").cast("string")))
