@@ -58,7 +58,7 @@ class Database:
 
     def append(self, relation: str, df: DataFrame) -> None:
         """Inserts rows; values are made to fit the declared types."""
-        self.describe(relation).fit(df).writeTo(f"{self.name}.{relation}").append()
+        self.describe(relation).fit(df).write.insertInto(f"{self.name}.{relation}")
 
     def insert(self, relation: str, rows: list[tuple]) -> None:
         self.append(relation, self.spark.createDataFrame(rows, self.describe(relation).struct()))
@@ -68,7 +68,7 @@ class Database:
         staged = f"{relation}_{uuid.uuid4().hex[:8]}"
         schema = self.describe(relation)
         self.create(Schema(staged, schema.fields))
-        df.select(*schema.names).writeTo(f"{self.name}.{staged}").append()
+        df.select(*schema.names).write.insertInto(f"{self.name}.{staged}")
         self.spark.sql(f"DROP TABLE {self._full(relation)}")
         self.spark.sql(f"ALTER TABLE {self._full(staged)} RENAME TO {self._full(relation)}")
         self.spark.sql(f"ALTER TABLE {self._full(relation)} SET TBLPROPERTIES ('{self.PROPERTY}' = '{schema.to_json()}')")
