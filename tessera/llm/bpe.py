@@ -22,7 +22,7 @@ from tessera.llm.common import text_blocks
 
 ENCODED = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())])
 #: Different matches whose ids a worker remembers at most; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Characters of texts that are split at once.
 TOGETHER = 1 << 19
 
