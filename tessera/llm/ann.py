@@ -21,6 +21,8 @@ CURVES, AXES, BITS = 4, 7, 9
 WINDOW = 32
 #: Vectors of a stretch of the first curve, and queries that meet a stretch at once.
 STRETCH, QUERIES = 256, 4096
+#: Vectors of a part of the first curve, about: a task of the widening holds one part and one block of queries.
+PART = 1 << 15
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -131,16 +133,18 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id"
 
     laid = stash(marked.mapInArrow(keys, "curve int, key long, vec_id long, vec binary, asks boolean"), "laid")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    line = laid.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "vec_id")
+    # The id splits keys that many vectors share.
+    line = laid.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
     near = _top(line.mapInArrow(windows, "query_id long, vec_id long, score double"), k)
     radius = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("radius"))
 
     # Widening: stretches of the first curve against blocks of queries; both sides in bounded groups.
     n_asks = ask.count()
+    parts = max(parts, -(-vectors.count() // PART))
     blocks = max(1, -(-n_asks // QUERIES))
     asked = ask.select(F.col("vec_id").alias("query_id"), "vec").join(radius, "query_id", "left")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    line = laid.where("curve = 0").repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()).select("part", "key", "vec_id", "vec")
+    line = laid.where("curve = 0").repartitionByRange(parts, "key", "vec_id").withColumn("part", F.spark_partition_id()).select("part", "key", "vec_id", "vec")
     line = line.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def widen(left, right):
@@ -149,9 +153,9 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id"
         if q.num_rows and rows.num_rows:
             qid, qv = q["query_id"].to_numpy(), binary_matrix(q["vec"], "<f4", dim).astype(np.float64)
             r = np.nan_to_num(q["radius"].to_numpy(zero_copy_only=False).astype(np.float64), nan=np.inf)
-            ids, v = rows["vec_id"].to_numpy(), binary_matrix(rows["vec"], "<f4", dim).astype(np.float64)
+            ids, v = rows["vec_id"].to_numpy(), binary_matrix(rows["vec"], "<f4", dim)
             for a in range(0, len(ids), STRETCH):
-                x, xid = v[a : a + STRETCH], ids[a : a + STRETCH]
+                x, xid = v[a : a + STRETCH].astype(np.float64), ids[a : a + STRETCH]
                 centre = x.mean(axis=0)
                 around = np.sqrt(((x - centre) ** 2).sum(axis=1)).max()
                 at = np.sqrt(((qv - centre) ** 2).sum(axis=1))
