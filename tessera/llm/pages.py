@@ -174,10 +174,12 @@ def templates(pages: DataFrame) -> DataFrame:
     counted = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_count, _COUNTED)
     tokens = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), wrap("vector").alias("vector"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
     plain = ((F.col("low") != F.col("high")) | (F.col("pages") < SAME_ON)) & (F.col("linked") <= MOST_LINKED * F.col("words"))
-    slot = F.struct("token", F.xxhash64("pages", "vector").alias("class"), plain.alias("plain"), "pages")
-    by_host = tokens.groupBy("host").agg(F.collect_list(slot).alias("all"), F.max("pages").alias("most"))
-    valid = F.filter("all", lambda x: x["pages"] >= LEAST_SUPPORT * F.col("most"))
-    return by_host.select("host", F.transform(valid, lambda x: F.struct(x["token"].alias("token"), x["class"].alias("class"), x["plain"].alias("plain"))).alias("slots"))
+    slot = F.struct("token", F.xxhash64("pages", "vector").alias("class"), plain.alias("plain"))
+    tokens = stash(tokens, "tokens")
+    most = tokens.groupBy("host").agg(F.max("pages").alias("most"))
+    # Only valid tokens are collected: of those that half of the pages have there are twice a page's paths at most.
+    valid = tokens.join(most, "host").where(F.col("pages") >= LEAST_SUPPORT * F.col("most"))
+    return valid.groupBy("host").agg(F.collect_list(slot).alias("slots"))
 
 
 def main_text(page: str | None, template: dict[int, bool]) -> str:
