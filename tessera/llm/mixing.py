@@ -19,8 +19,10 @@ BUDGET = 1.5
 PASSES = 2
 #: Ranges of the shuffled order whose sums are taken first, so that no task walks a whole source.
 RANGES = 4096
-#: Ranges of one unit of virtual time.
+#: Ranges of one unit of virtual time, and of each range that is divided again.
 TIMES = 256
+#: Items that one task sorts at most to find the cut; ranges with more are divided again.
+SORTED = 1 << 20
 
 
 def words_in(text: Column) -> Column:
@@ -76,18 +78,26 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, budget: float = BUD
 
     items = rows.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
     items = items.withColumn("time", (F.col("upto") + F.col("pass") * F.col("source_size")).cast("double") / F.col("target"))
-    span = F.floor(F.col("time") * TIMES)
     total = sized.agg(F.sum("size")).first()[0] or 0
     left = math.floor(budget * total)
-    # The sums of spans of virtual time find the span in which the budget ends; only that one is sorted item by item.
-    spans = items.groupBy(span.alias("span")).agg(F.sum("size").alias("words"))
-    spans = spans.withColumn("end", F.sum("words").over(Window.orderBy("span")))
-    crossing = spans.where(F.col("end") > left).orderBy("span").limit(1).collect()
+    # The sums of spans of virtual time find the span in which the budget ends; only that one is sorted item by item, once
+    # it is divided so far that it is small. Items of one time are of different sources.
+    within, before, low, width = items, 0, 0.0, 1 / TIMES
+    while True:
+        span = F.floor((F.col("time") - low) / width)
+        spans = within.groupBy(span.alias("span")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("items"))
+        spans = spans.withColumn("end", F.sum("words").over(Window.orderBy("span")) + F.lit(before))
+        crossing = spans.where(F.col("end") > left).orderBy("span").limit(1).collect()
+        if not crossing:
+            break
+        x = crossing[0]
+        within, before, low, width = within.where(span == x["span"]), x["end"] - x["words"], low + x["span"] * width, width / TIMES
+        if x["items"] <= SORTED or width < 1e-15:
+            break
     order = ["time", "source_key", "pass", "place", "doc_id"]
     cut, part_of_cut = None, 0
     if crossing:
-        x = crossing[0]
-        within = items.where(span == x["span"]).withColumn("end", F.sum("size").over(Window.partitionBy(span).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + (x["end"] - x["words"]))
+        within = within.withColumn("end", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before))
         cut = within.where(F.col("end") > left).orderBy("end").limit(1).collect()[0]
         part_of_cut = cut["size"] - (cut["end"] - left)
 
