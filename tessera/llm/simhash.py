@@ -29,6 +29,8 @@ SEED = 42
 PIVOTS = 24
 #: Rows of a bucket that are compared in one go; larger buckets are dealt into pairs of chunks.
 CHUNK = 1024
+#: A fingerprint of more than one in HOT rows is dealt to SALTS tasks where rows get their class.
+HOT, SALTS = 256, 256
 _SHINGLES_AT_ONCE = 1 << 14
 
 
@@ -153,13 +155,23 @@ def near_groups(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     links with nothing. Repeated rows stay; an empty table gives an empty one; other columns are ignored.
     """
     fps = stash(fingerprints(docs, scheme), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    rows = classes.where(F.col("rep").isNotNull()).mapInArrow(_keys(scheme), "fp binary, rep long, keys array<long>").select("fp", "rep", F.explode("keys").alias("key"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    rows = classes.where(F.col("rep").isNotNull()).select("fp", "rep").mapInArrow(_keys(scheme), "fp binary, rep long, keys array<long>").select("fp", "rep", F.explode("keys").alias("key"))
     rows = spread(rows, "rep", CHUNK).select("run", "key", "side", "cross", "fp", "rep")
     edges = rows.repartition("run").sortWithinPartitions("run", "key").mapInArrow(_links(scheme), "a long, b long")
     found = components(edges, "a", "b")
-    named = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, fps["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
+    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return _named(fps, named, classes).select("doc_id", "fp", "component_id")
+
+
+def _named(fps: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """fps with the component of each fingerprint. A class with more than one in HOT rows is dealt to SALTS tasks; there
+    are fewer than HOT such classes, whatever the input, so their list is broadcast."""
+    hot = classes.where(F.col("n") * HOT > fps.count()).select("fp", F.lit(SALTS).alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = fps.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).drop("salts")
+    right = named.join(F.broadcast(hot), "fp", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, ["fp", "salt"], "left")
 
 
 def hex_of(fp: Column) -> Column:
