@@ -194,8 +194,9 @@ def brute_components(ids, links):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("chunk", [1024, 8])
-def test_simhash_groups(spark, medium, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "hot"), [(1024, 256), (8, 10**6)])
+def test_simhash_groups(spark, medium, monkeypatch, chunk, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)  # a million: every class is dealt to several tasks
     monkeypatch.setattr(simhash, "CHUNK", chunk)  # small chunks: hot buckets are dealt into pairs of chunks
     rng = random.Random(1)
     words = [f"w{i}" for i in range(400)]
@@ -246,7 +247,7 @@ def test_components(spark):
 # ---- 4: mixing -------------------------------------------------------------------------------------------------------
 
 
-def test_mix_awkward(spark):
+def test_mix_awkward(spark, monkeypatch):
     docs = awkward(spark, TEXTS + [f"some words of document {i} " * (i % 7) for i in range(200)])
     got = mixing.mix(docs).collect()
     rows = docs.collect()
@@ -273,6 +274,9 @@ def test_mix_awkward(spark):
     longest = max(r.size for r in got)
     assert all(abs(taken[s] - share[s]) <= longest for s in names) and sum(taken.values()) == int(1.5 * total)
     assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, got))
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "SORTED", 1)  # the range of the cut is divided until it holds one item
+        assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, got))
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and sum(size(r.text) for r in out.collect()) == int(1.5 * total)
     assert mixing.mix(awkward(spark, [], empty=True)).count() == 0
