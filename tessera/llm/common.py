@@ -56,6 +56,16 @@ def text_blocks(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+def text_parts(b: pa.RecordBatch, at: int, most: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of a batch with their texts in column `at`: whole texts, about `most` characters; only few rows' texts are
+    Python objects at a time."""
+    for i in range(0, b.num_rows, 500):
+        rows = b.slice(i, 500)
+        texts = rows.column(at).to_pylist()
+        for s, e in text_blocks(texts, most):
+            yield rows.slice(s, e - s), texts[s:e]
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 

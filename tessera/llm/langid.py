@@ -10,19 +10,21 @@ from __future__ import annotations
 import sys
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_blocks
+from tessera.llm.common import text_parts
 
 ORDERS = (3, 4)
 SLOT_BITS, HASHES = 20, 3
 #: Rows of each language that the filters are fitted on, about: a bound on the fit, not on what is predicted.
 SAMPLE_PER_LANGUAGE = 3000
+#: Characters of texts whose n-grams are held at once; they take about 150 bytes a character.
+TOGETHER = 1 << 18
 #: A language contains an n-gram if so many of its sampled documents have it, and so many times the share of the
 #: language that has it most often.
 LEAST_SHARE, LEAST_RATIO = 0.005, 0.2
@@ -79,6 +81,7 @@ class Filters:
     languages: list[str]
     masks: np.ndarray
 
+    @cached_property
     def false_positives(self) -> np.ndarray:
         fill = np.array([((self.masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(self.languages))])
         return fill**HASHES
@@ -94,7 +97,7 @@ class Filters:
         for s in others:
             mask &= self.masks[s]
         total = np.bincount(owner, minlength=n_texts)
-        fp = np.minimum(self.false_positives(), 0.999)
+        fp = np.minimum(self.false_positives, 0.999)
         found = np.stack([np.bincount(owner, weights=((mask >> np.uint64(i)) & np.uint64(1)).astype(np.float64), minlength=n_texts) for i in range(n_langs)])
         true = np.maximum(0, (found - fp[:, None] * total) / (1 - fp[:, None]))
         best, everything = true.argmax(axis=0), true.sum(axis=0)
@@ -124,18 +127,17 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
     def count(batches):
         """Documents with each n-gram, and (hash 0) documents, by language."""
         for b in batches:
-            langs = np.array([number[x] for x in b.column(1).to_pylist()], np.int64)
-            texts = b.column(0).to_pylist()
-            for s, e in text_blocks(texts):
-                h, owner, _ = grams(texts[s:e])
+            for part, texts in text_parts(b, 0, TOGETHER):
+                langs = np.array([number[x] for x in part.column(1).to_pylist()], np.int64)
+                h, owner, _ = grams(texts)
                 order = np.lexsort((owner, h))
                 h, owner = h[order], owner[order]
                 once = np.ones(len(h), bool)
                 once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                h, lang = h[once], langs[s:e][owner[once]]
-                for i in np.unique(langs[s:e]):
+                h, lang = h[once], langs[owner[once]]
+                for i in np.unique(langs):
                     got, n = np.unique(h[lang == i], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.append(got, np.uint64(0)).view(np.int64)), pa.array(np.full(len(got) + 1, i)), pa.array(np.append(n, (langs[s:e] == i).sum()))], ["gram", "lang", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(got, np.uint64(0)).view(np.int64)), pa.array(np.full(len(got) + 1, i)), pa.array(np.append(n, (langs == i).sum()))], ["gram", "lang", "n"])
 
     counted = rows.where(drawn).select("text", "lang").mapInArrow(count, "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counted = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
@@ -171,10 +173,8 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
     def run(batches):
         known = Filters(*model.value)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for s, e in text_blocks(texts):
-                part = b.slice(s, e - s)
-                lang, score, coverage = known.predict(texts[s:e])
+            for part, texts in text_parts(b, at, TOGETHER):
+                lang, score, coverage = known.predict(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(coverage)], names=[*keep, "lang_pred", "score", "coverage"])
 
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, coverage double")
