@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tessera.llm.common import text_blocks
+from tessera.llm.common import text_parts
 
 ENCODED = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())])
 #: Different matches whose ids a worker remembers at most; beyond that it forgets all and starts again.
 REMEMBERED = 100_000
-#: Characters of texts that are split at once.
-TOGETHER = 1 << 19
+#: Characters of texts that are split at once, and matches that the library encodes at once.
+TOGETHER, BATCH = 1 << 18, 4096
 
 
 def byte_to_char() -> list[str]:
@@ -69,6 +69,7 @@ def _loaded(text: str) -> Tokenizer:
 
 @lru_cache(maxsize=4)
 def _bytes_by_id(text: str) -> list[bytes]:
+    """The byte table of decoding, by id."""
     back = {c: b for b, c in enumerate(byte_to_char())}
     vocab = _loaded(text).get_vocab(with_added_tokens=False)
     table = [b""] * (max(vocab.values(), default=-1) + 1)
@@ -90,13 +91,12 @@ class Words:
         if len(self.ids) + len(new) > REMEMBERED:
             self.ids, self.inner = {}, {}
             new = list(words)
-        if self.with_offsets:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.ids[w] = array("I", e.ids).tobytes()
-                self.inner[w] = np.array(e.offsets, "<u4").reshape(-1, 2)
-        else:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        run = self.tokenizer.encode_batch if self.with_offsets else self.tokenizer.encode_batch_fast
+        for a in range(0, len(new), BATCH):  # the library's results are far larger than what is kept of them
+            for w, e in zip(new[a : a + BATCH], run(new[a : a + BATCH], add_special_tokens=False)):
                 self.ids[w] = array("I", e.ids).tobytes()
+                if self.with_offsets:
+                    self.inner[w] = np.array(e.offsets, "<u4").reshape(-1, 2)
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, bytes | None]]:
         """Number of tokens, packed ids and packed offsets of each text."""
@@ -134,10 +134,8 @@ def encode(df: DataFrame, text_col: str, path: str, pattern: str, keep: list[str
     def run(batches):
         words = _words(model.value, pattern, with_offsets)
         for b in batches:
-            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
-            for s, e in text_blocks(texts, TOGETHER):
-                part = b.slice(s, e - s)
-                made = zip(*words.encode(texts[s:e]))
+            for part, texts in text_parts(b, b.num_columns - 1, TOGETHER):
+                made = zip(*words.encode([t or "" for t in texts]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(made, ENCODED.types))], names=[*part.schema.names[:-1], *ENCODED.names])
 
     return rows.mapInArrow(run, f"{schema}, n_tokens long, ids binary, offsets binary")
@@ -147,16 +145,18 @@ def decode(df: DataFrame, ids_col: str, path: str, pattern: str, keep: list[str]
     """The columns `keep`, and decoded binary: the bytes of the packed ids, joined before anything reads them as
     characters, so that tokens that split a character join again; and text string, null where the bytes aren't UTF-8.
     Null ids give null; an id outside the vocabulary is an error."""
-    model = df.sparkSession.sparkContext.broadcast(tokenizer_json(path))
-    rows = df.select(*keep, df[ids_col].alias("_ids_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    model = df.sparkSession.sparkContext.broadcast(_bytes_by_id(tokenizer_json(path)))
+    held = ids_col in keep  # they travel once
+    rows = df.select(*keep) if held else df.select(*keep, df[ids_col].alias("_ids_"))
+    at = keep.index(ids_col) if held else len(keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
 
     def run(batches):
-        table = _bytes_by_id(model.value)
+        table = model.value
         for b in batches:
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
-                out = [None if x is None else b"".join(map(table.__getitem__, array("I", x))) for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.binary())], names=[*part.schema.names[:-1], "decoded"])
+                out = [None if x is None else b"".join(map(table.__getitem__, array("I", x))) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
     return rows.mapInArrow(run, f"{schema}, decoded binary").withColumn("text", F.try_validate_utf8(F.col("decoded").cast("string")))
