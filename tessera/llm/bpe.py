@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tessera.llm.common import text_parts
+from tessera.llm.common import short_batches, text_parts
 
 ENCODED = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())])
 #: Different matches whose ids a worker remembers at most; beyond that it forgets all and starts again.
@@ -138,7 +138,7 @@ def encode(df: DataFrame, text_col: str, path: str, pattern: str, keep: list[str
                 made = zip(*words.encode([t or "" for t in texts]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(made, ENCODED.types))], names=[*part.schema.names[:-1], *ENCODED.names])
 
-    return rows.mapInArrow(run, f"{schema}, n_tokens long, ids binary, offsets binary")
+    return short_batches(rows).mapInArrow(run, f"{schema}, n_tokens long, ids binary, offsets binary")
 
 
 def decode(df: DataFrame, ids_col: str, path: str, pattern: str, keep: list[str]) -> DataFrame:
@@ -159,4 +159,4 @@ def decode(df: DataFrame, ids_col: str, path: str, pattern: str, keep: list[str]
                 out = [None if x is None else b"".join(map(table.__getitem__, array("I", x))) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    return rows.mapInArrow(run, f"{schema}, decoded binary").withColumn("text", F.try_validate_utf8(F.col("decoded").cast("string")))
+    return short_batches(rows).mapInArrow(run, f"{schema}, decoded binary").withColumn("text", F.try_validate_utf8(F.col("decoded").cast("string")))

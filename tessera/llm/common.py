@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words everywhere in this subpackage.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of a batch that goes to Python, see short_batches().
+ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,15 @@ def unstash(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends ROWS rows at most to Python at once, or fewer if it is set so. With whole
+    texts the default of 10,000 rows makes batches of tens of MB, held by the JVM and by Python, in every task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return df
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string")) % n
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_parts
+from tessera.llm.common import short_batches, text_parts
 
 ORDERS = (3, 4)
 SLOT_BITS, HASHES = 20, 3
@@ -139,7 +139,7 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Filte
                     got, n = np.unique(h[lang == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.append(got, np.uint64(0)).view(np.int64)), pa.array(np.full(len(got) + 1, i)), pa.array(np.append(n, (langs == i).sum()))], ["gram", "lang", "n"])
 
-    counted = rows.where(drawn).select("text", "lang").mapInArrow(count, "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counted = short_batches(rows).where(drawn).select("text", "lang").mapInArrow(count, "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     counted = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
     of = {r["lang"]: r["n"] for r in counted.where("gram = 0").select(F.explode("by").alias("x")).select("x.*").collect()}
     scale = F.create_map(*(x for i in of for x in (F.lit(i), F.lit(1.0 / of[i]))))
@@ -177,4 +177,4 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
                 lang, score, coverage = known.predict(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(coverage)], names=[*keep, "lang_pred", "score", "coverage"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, coverage double")
+    return short_batches(rows).mapInArrow(run, f"{schema}, lang_pred string, score double, coverage double")

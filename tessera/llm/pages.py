@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash
+from tessera.llm.common import short_batches, stash
 
 #: Elements whose content is never text.
 RAW = "script style noscript template svg math iframe object select button textarea".split()
@@ -171,7 +171,7 @@ def templates(pages: DataFrame) -> DataFrame:
     half of the host's pages have, by the most frequent token, are not valid and not in the template.
     """
     wrap = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))  # noqa: E731  sums of vectors may pass 64 bits
-    counted = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_count, _COUNTED)
+    counted = short_batches(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_count, _COUNTED)
     tokens = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), wrap("vector").alias("vector"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
     plain = ((F.col("low") != F.col("high")) | (F.col("pages") < SAME_ON)) & (F.col("linked") <= MOST_LINKED * F.col("words"))
     slot = F.struct("token", F.xxhash64("pages", "vector").alias("class"), plain.alias("plain"))
@@ -235,4 +235,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return short_batches(joined).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")

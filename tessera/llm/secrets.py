@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import short_batches
+
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
@@ -256,7 +258,7 @@ def find_secrets(docs: DataFrame, keep: list[str], net: Network | None = None) -
                 made = pa.array([[dict(zip(("kind", "start", "end", "score"), x)) for x in f] for f in found], _ARROW_SPANS)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*part.schema.names[:-1], "findings"])
 
-    return rows.mapInArrow(run, f"{schema}, findings {_SPANS}")
+    return short_batches(rows).mapInArrow(run, f"{schema}, findings {_SPANS}")
 
 
 def masked(text: str | None, found: list) -> str | None:
@@ -284,7 +286,7 @@ def redact(docs: DataFrame, net: Network | None = None) -> DataFrame:
                 texts = part.column(i).to_pylist()
                 yield part.set_column(i, part.schema.field(i), pa.array([masked(t, f) for t, f in zip(texts, scan(texts, net))], part.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return short_batches(docs).mapInArrow(run, docs.schema)
 
 
 def joined(findings: Column, kinds: tuple) -> Column:

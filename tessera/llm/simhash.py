@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Forest, binary_matrix, pair_lags, sorted_runs, spread, stash
+from tessera.llm.common import Forest, binary_matrix, pair_lags, short_batches, sorted_runs, spread, stash
 from tessera.llm.components import components
 
 SEED = 42
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
                 part = b.slice(a, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t, scheme) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
 
 
 def _keys(scheme: Scheme):
