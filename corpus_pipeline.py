@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (packed), and whether the ids decode to the text."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    made = bpe.encode(docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), "text", path, pattern, ["doc_id", "lang", "source", "sha"], with_offsets=False)
+    made = stash(bpe.encode(docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), "text", path, pattern, ["doc_id", "lang", "source", "sha"], with_offsets=False), "encoded")  # else each task has two Python workers at a time, and executors keep them
     back = bpe.decode(made, "ids", path, pattern, ["doc_id", "lang", "source", "sha", "n_tokens", "ids"])
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("exact"))
 

@@ -522,3 +522,17 @@ def test_contract_columns(spark, small):
     }
     for name, f in queries.QUERIES.items():
         assert " ".join(f"{c}:{t}" for c, t in f(spark, small).dtypes) == want[name]
+
+
+# ---- pipeline --------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_tokens(spark, small, reference):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = corpus_pipeline.tokens(spark, docs, small).collect()
+    assert len(got) == len(texts) and all(r.exact for r in got)
+    for r in got:
+        assert np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(texts[r.doc_id] or "") and r.n_tokens == len(r.ids) // 4
