@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("SimHash near-dedup", near_copies), ("secret scans", secret_scan), ("mixing sources", mix_sources), ("byte-level BPE", tokens)]
 
-#: SQL can't express the stages; tests hold each against a brute-force version.
+#: SQL can't express the stages. Tests hold the operators of all stages, and the last stage itself, against plain versions or held-out labels.
 ORACLE_SQL = None
 
 
