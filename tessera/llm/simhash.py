@@ -5,8 +5,9 @@ table's bucket, precomputed Hamming distances to many reference fingerprints dis
 difference, and only survivors are compared bit by bit.
 
 Two schemes are in use. EXACT: 64 bits of 3-word shingles, at most three differing bits; some two of five blocks of bits
-are then alike, so ten tables find every pair. SIMILAR: 256 bits of 5-word shingles, which estimate a Jaccard similarity
-of 0.8 or more; its tables of drawn bits find a pair at the threshold with a probability of 0.95, a nearer one sooner.
+are then alike, so ten tables find every pair. SIMILAR: 256 bits of the set of 5-word shingles bring pairs that may have a
+Jaccard similarity of 0.8 together; its radius and tables of drawn bits retrieve a pair at the threshold with a joint
+probability of 0.996, a nearer one sooner. Only pairs whose shingles, counted in the texts, have that similarity link.
 """
 
 from __future__ import annotations
@@ -36,19 +37,26 @@ _SHINGLES_AT_ONCE = 1 << 14
 
 @dataclass(frozen=True)
 class Scheme:
-    """Words of a shingle, the hashes whose bits a fingerprint has, the most differing bits of a link, and the bits that
-    each table's key consists of."""
+    """Words of a shingle, the hashes whose bits a fingerprint has, the most differing bits of a link, the bits that each
+    table's key consists of, and the least Jaccard similarity of a link. With the latter, shingles count once, and a
+    digest of their set stands behind a fingerprint's bits, so that a class has one set."""
 
     words: int
     hashes: tuple[Callable[[bytes, int], bytes], ...]
     radius: int
     tables: tuple[tuple[int, ...], ...] = field(repr=False)
+    least: float = 0.0
 
     @property
     def width(self) -> int:
         """64-bit words of a fingerprint."""
         return sum(len(h(b"", SEED)) for h in self.hashes) // 8
 
+    @property
+    def bytes(self) -> int:
+        """Of a fingerprint, and of the digest behind it."""
+        return 8 * self.width + (16 if self.least else 0)
+
 
 def _alike_blocks(widths: tuple[int, ...], radius: int) -> tuple[tuple[int, ...], ...]:
     """Of len(widths) blocks, `radius` may hold differing bits; the others are alike."""
@@ -72,25 +80,57 @@ def _second(data: bytes, seed: int) -> bytes:
 
 
 EXACT = Scheme(3, (xxhash.xxh64_digest,), 3, _alike_blocks((13, 13, 13, 13, 12), 3))
-#: The radius is the mean of pairs at the threshold and a standard deviation more.
-SIMILAR = Scheme(5, (xxhash.xxh3_128_digest, _second), round(256 * differing_share(0.8) + math.sqrt(256 * differing_share(0.8) * (1 - differing_share(0.8)))), _drawn(256, 18, 60))
+#: The radius is the mean of pairs at the threshold and four standard deviations more.
+SIMILAR = Scheme(5, (xxhash.xxh3_128_digest, _second), round(256 * differing_share(0.8) + 4 * math.sqrt(256 * differing_share(0.8) * (1 - differing_share(0.8)))), _drawn(256, 14, 80), 0.8)
+#: Tables of SIMILAR that join what is nearly alike, before pairs are made of the rest.
+FIRST_TABLES = 8
+#: Pivots of SIMILAR: its radius is so wide that more of them discard no more pairs.
+FEW_PIVOTS = 4
 
 
-def fingerprint(text: str | None, scheme: Scheme = EXACT) -> bytes:
-    """The fingerprint of a text, see near_groups(); most significant bit first."""
+def _shingles(text: str | None, words: int):
+    """Lists of the shingles of a text, some at a time."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return bytes(8 * scheme.width)
-    joined, words = b" ".join(found), scheme.words
+        return
+    joined = b" ".join(found)
     ends = list(accumulate(len(w) + 1 for w in found))
     starts, n = [0, *ends[:-1]], max(1, len(found) - words + 1)
     last = ends[words - 1 :] if len(found) >= words else ends[-1:]
-    ones = np.zeros(64 * scheme.width, np.int64)
     for a in range(0, n, _SHINGLES_AT_ONCE):
-        shingles = [joined[s : e - 1] for s, e in zip(starts[a : min(n, a + _SHINGLES_AT_ONCE)], last[a : a + _SHINGLES_AT_ONCE])]
+        yield [joined[s : e - 1] for s, e in zip(starts[a : min(n, a + _SHINGLES_AT_ONCE)], last[a : a + _SHINGLES_AT_ONCE])]
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The different shingles of a text, each as 64 bits of its hash; sorted."""
+    parts = [np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in part), np.uint64, len(part)) for part in _shingles(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def fingerprint(text: str | None, scheme: Scheme = EXACT) -> bytes:
+    """The fingerprint of a text, see near_groups(); most significant bit first."""
+    ones, n, seen = np.zeros(64 * scheme.width, np.int64), 0, set()
+    for shingles in _shingles(text, scheme.words):
+        if scheme.least:
+            shingles = list(set(shingles) - seen)
+            seen.update(shingles)
+        if not shingles:
+            continue
+        n += len(shingles)
         columns = [np.frombuffer(b"".join([h(x, SEED) for x in shingles]), np.uint8).reshape(len(shingles), -1) for h in scheme.hashes]
         ones += np.unpackbits(np.concatenate(columns, axis=1), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > n).tobytes()
+    bits = np.packbits(ones * 2 > n).tobytes()
+    return bits + _digest(shingle_set(text, scheme.words)) if scheme.least else bits
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes(), SEED)
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
@@ -110,10 +150,10 @@ def _keys(scheme: Scheme):
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 part = b.slice(a, 2000)
-                bits = np.unpackbits(binary_matrix(part.column(0), np.uint8, 8 * scheme.width), axis=1).astype(np.int64)
+                bits = np.unpackbits(binary_matrix(part.column(0), np.uint8, scheme.bytes)[:, : 8 * scheme.width], axis=1).astype(np.int64)
                 keys = np.stack([(t << 32) + bits[:, chosen] @ (1 << np.arange(len(chosen))) for t, chosen in enumerate(scheme.tables)], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["fp", "rep", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "keys"])
 
     return run
 
@@ -144,18 +184,112 @@ def _links(scheme: Scheme):
     return run
 
 
+def _pairs(scheme: Scheme, forest_only: bool):
+    """Pairs (fp_a, a, fp_b, b) within the radius that have not met yet (their `part` differs): with forest_only as many
+    as connect them, else each pair, in the first table that both share."""
+    chosen = [np.array(t) for t in scheme.tables]
+    pivots = np.random.default_rng(SEED).integers(0, 1 << 64, (FEW_PIVOTS, scheme.width), dtype=np.uint64)
+
+    def run(batches):
+        for t in sorted_runs(batches, 1 << 14):
+            order, key, side, cross = (t[c].to_numpy() for c in ("run", "key", "side", "cross"))
+            raw = binary_matrix(t["fp"], np.uint8, scheme.bytes)
+            fp = np.ascontiguousarray(raw[:, : 8 * scheme.width]).view(">u8").astype(np.uint64)
+            away = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots])
+            part, rep, table = t["part"].to_numpy(), t["rep"].to_numpy(), t["key"].to_numpy() >> 32
+            forest, out = Forest(len(fp)), []
+            for a, b in pair_lags(order, key, side, cross):
+                for i in range(0, len(a), 1 << 15):
+                    x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+                    far = forest.apart(x, y) & (part[x] != part[y])
+                    x, y = x[far], y[far]
+                    for row in away:
+                        near = np.abs(row[x] - row[y]) <= scheme.radius
+                        x, y = x[near], y[near]
+                    near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= scheme.radius
+                    x, y = x[near], y[near]
+                    if forest_only:
+                        forest.join(x, y)
+                    elif len(x):
+                        differ = np.unpackbits(raw[x, : 8 * scheme.width] ^ raw[y, : 8 * scheme.width], axis=1)
+                        first = np.full(len(x), len(chosen))
+                        for k in range(len(chosen) - 1, -1, -1):
+                            first[~differ[:, chosen[k]].any(axis=1)] = k
+                        new = first == table[x]
+                        out.append((x[new], y[new]))
+            x, y = forest.edges() if forest_only else map(np.concatenate, zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
+            fps = t["fp"].combine_chunks()
+            for i in range(0, len(x), 10_000):
+                p, q = pa.array(x[i : i + 10_000]), pa.array(y[i : i + 10_000])
+                yield pa.RecordBatch.from_arrays([fps.take(p), pa.array(rep[p]), fps.take(q), pa.array(rep[q])], ["fp_a", "a", "fp_b", "b"])
+
+    return run
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Those of the pairs whose texts have the scheme's least similarity. Of rows that repeat an id, the one with the
+    fingerprint's digest counts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    one = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a")), "a")
+    both = one.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b")), "b").select("fp_a", "fp_b", "text_a", "text_b")
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                part, known = b.slice(i, 200), {}
+                fp_a, fp_b, text_a, text_b = (part.column(c).to_pylist() for c in range(4))
+                keep = []
+                for k, (fx, fy, x, y) in enumerate(zip(fp_a, fp_b, text_a, text_b)):
+                    for t in (x, y):
+                        if t not in known:
+                            got = shingle_set(t, scheme.words)
+                            known[t] = got, _digest(got)
+                    (sx, dx), (sy, dy) = known[x], known[y]
+                    if fx[-16:] == dx and fy[-16:] == dy and jaccard(sx, sy) >= scheme.least:
+                        keep.append(k)
+                yield part.select(["fp_a", "fp_b"]).take(pa.array(keep, pa.int64()))
+
+    return short_batches(both).mapInArrow(run, "fp_a binary, fp_b binary").distinct()
+
+
+def _similar(docs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
+    """(fp, component_id) of the classes, which link if their shingles are alike. First what few tables bring together is
+    joined by as few pairs as connect it; then each other pair of all tables is compared, so a group of near copies
+    doesn't make all its pairs."""
+    nodes = stash(classes.where(F.col("rep").isNotNull()).select("fp", "rep", F.xxhash64("fp").alias("node")), "nodes")
+
+    def pairs(tables: int, forest_only: bool, of: DataFrame) -> DataFrame:
+        rows = of.mapInArrow(_keys(scheme), "fp binary, rep long, part long, keys array<long>").select("fp", "rep", "part", F.explode(F.slice("keys", 1, tables)).alias("key"))
+        rows = spread(rows, "fp", CHUNK).select("run", "key", "side", "cross", "fp", "rep", "part").repartition("run").sortWithinPartitions("run", "key")
+        found = stash(rows.mapInArrow(_pairs(scheme, forest_only), "fp_a binary, a long, fp_b binary, b long").distinct(), "pairs")
+        return _alike(docs, found, scheme).select(F.xxhash64("fp_a").alias("a"), F.xxhash64("fp_b").alias("b"))
+
+    first = stash(pairs(FIRST_TABLES, True, nodes.select("fp", "rep", F.col("node").alias("part"))), "first")
+    met = components(first, "a", "b").select(F.col("node").alias("_node"), "component")
+    named = nodes.join(met, nodes["node"] == met["_node"], "left").select("fp", "rep", F.coalesce("component", "node").alias("part"))
+    rest = stash(pairs(len(scheme.tables), False, stash(named, "met")), "rest")
+    found = components(first.unionByName(rest), "a", "b").select(F.col("node").alias("_node"), "component")
+    named = nodes.join(found, nodes["node"] == found["_node"], "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return named.join(least, "component").select("fp", "component_id")
+
+
 def near_groups(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """(doc_id, fp binary, component_id) for every row of docs.
 
     Texts are lower-cased in A-Z only and cut at ASCII white space; their shingles of words, repeats included, are joined
     by a space; fewer words than a shingle make one shingle, none (null and empty texts) the fingerprint 0, which links
     like any other. A bit is set if more than half of the shingles' hashes have it. Fingerprints within the scheme's
-    radius link; component_id is the smallest doc_id that links reach. Equal fingerprints are one class, so copies never
+    radius link, if the scheme has no least similarity; else their sets of shingles must have it too. component_id is the smallest doc_id that links reach. Equal fingerprints are one class, so copies never
     make pairs. A null doc_id stays in the result and is never a component_id; a class of null ids only has none and
     links with nothing. Repeated rows stay; an empty table gives an empty one; other columns are ignored.
     """
     fps = stash(fingerprints(docs, scheme), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    if scheme.least:
+        classes = stash(classes, "classes")
+        named = classes.select("fp").join(_similar(docs, classes, scheme).withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").select("fp", "component_id")
+        return _named(fps, named, classes).select("doc_id", "fp", "component_id")
     rows = classes.where(F.col("rep").isNotNull()).select("fp", "rep").mapInArrow(_keys(scheme), "fp binary, rep long, keys array<long>").select("fp", "rep", F.explode("keys").alias("key"))
     rows = spread(rows, "rep", CHUNK).select("run", "key", "side", "cross", "fp", "rep")
     edges = rows.repartition("run").sortWithinPartitions("run", "key").mapInArrow(_links(scheme), "a long, b long")
