@@ -67,9 +67,15 @@ def distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row, the indices of its k smallest distances, ties to smaller ids; infinite ones don't count."""
-    out = []
+    """For each row, the indices of its k smallest distances, of each id the nearest, ties to smaller ids; infinite ones
+    don't count."""
+    out, repeated = [], len(np.unique(ids)) < len(ids)
     for row in dist:
+        if repeated:
+            order = np.lexsort((row, ids))
+            again = order[1:][ids[order[1:]] == ids[order[:-1]]]
+            row = row.copy()
+            row[again] = np.inf
         ok = np.flatnonzero(row <= (np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf))
         ok = ok[np.isfinite(row[ok])]
         out.append(ok[np.lexsort((ids[ok], row[ok]))][:k])

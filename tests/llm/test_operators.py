@@ -77,6 +77,15 @@ def test_nearest_is_exact(spark, medium, source):
     assert got == brute_nearest(usable(rows, 8 if source == "odd" else 64), 50, 10)
 
 
+def test_nearest_with_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8)) * 5
+    rows = [(i, (centres[i % 6] + rng.normal(size=8) * 0.1).astype(np.float32).tolist()) for i in range(240)]
+    rows += rows + [(i, v) for i, v in rows if i % 6 == 0] * 2  # all twice, a cluster four times
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in ann.nearest(df, every=20, k=10).collect()} == brute_nearest(rows, 20, 10)
+
+
 def test_hilbert_neighbours_share_faces():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = cells[np.argsort(ann.hilbert(cells, 3))]
