@@ -15,13 +15,21 @@ from pyspark.sql import types as T
 #: Fields that a record may have, over all layouts.
 _LISTS = {"messages": ("role", "content"), "conversations": ("from", "value"), "turns": ("speaker", "text")}
 _TEXTS = ("prompt", "response", "completion", "instruction", "input", "output", "question", "answer", "system")
+#: Fields that the elements of each list may have: the names of all layouts, since one layout's list may hold another's.
+_PARTS = tuple(dict.fromkeys(x for v in _LISTS.values() for x in v))
 _text = lambda name: T.StructField(name, T.StringType())
-FIELDS = T.StructType([*(T.StructField(k, T.ArrayType(T.StructType([*map(_text, v)]))) for k, v in _LISTS.items()), *map(_text, _TEXTS)])
+FIELDS = T.StructType([*(T.StructField(k, T.ArrayType(T.StructType([*map(_text, _PARTS)]))) for k in _LISTS), *map(_text, _TEXTS)])
 #: Layout: paths that it has, paths that it may have, and its turns as (role or path of roles, path of texts).
 LAYOUTS = {
     "messages": (("messages[].role", "messages[].content"), ("system",), (("system", "system"), ("messages[].role", "messages[].content"))),
     "conversations": (("conversations[].from", "conversations[].value"), ("system",), (("system", "system"), ("conversations[].from", "conversations[].value"))),
     "turns": (("turns[].speaker", "turns[].text"), ("system",), (("system", "system"), ("turns[].speaker", "turns[].text"))),
+    **{
+        f"{k}_{role}_{text}": ((f"{k}[].{role}", f"{k}[].{text}"), ("system",), (("system", "system"), (f"{k}[].{role}", f"{k}[].{text}")))
+        for k, own in _LISTS.items()
+        for role, text in _LISTS.values()
+        if (role, text) != own
+    },
     "prompt_response": (("prompt", "response"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     "prompt_completion": (("prompt", "completion"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     "question_answer": (("question", "answer"), ("system",), (("system", "system"), ("user", "question"), ("assistant", "answer"))),
@@ -38,6 +46,24 @@ def _at(record: str, path: str) -> Column:
     return F.col(f"{record}.`{path.partition('[]')[0]}`")
 
 
+def _fills(record: str, path: str) -> Column:
+    held, part = _at(record, path), path.partition("[].")[2]
+    if not part:
+        return held.isNotNull()
+    filled = F.exists(held, lambda m: m[part].isNotNull())
+    return filled | (F.size(held) == 0) if part in _LISTS[path.partition("[]")[0]] else filled
+
+
+def _given(record: str, kind: T.StructType, f: T.StructField) -> Column:
+    """A known field of a struct; fields of a list's elements are taken by their names."""
+    held = F.col(f"{record}.`{f.name}`") if f.name in kind.names else F.lit(None)
+    element = getattr(kind[f.name].dataType, "elementType", None) if f.name in kind.names else None
+    if isinstance(f.dataType, T.ArrayType) and isinstance(element, (T.StructType, T.MapType)):
+        has = lambda g: isinstance(element, T.MapType) or g in element.names
+        held = F.transform(held, lambda m: F.struct(*((m[g] if has(g) else F.lit(None)).cast("string").alias(g) for g in _PARTS)))
+    return held.cast(f.dataType).alias(f.name)
+
+
 def _hash(paths) -> Column:
     return F.xxhash64(F.lit("|".join(sorted(paths))))
 
@@ -62,15 +88,16 @@ def canonical_turns(df: DataFrame, record_col: str, out: str = "turns", layouts=
     """df with fingerprint long, layout string and the column `out`: the record's turns, an array of (role, text).
 
     record_col is a struct or a string of JSON. The fingerprint is XXH64 of the sorted nested paths of the known fields
-    that the record fills; other fields don't count. A record of no known layout (null, empty and malformed ones too)
+    that the record fills; other fields don't count. A path in a list is filled if some element has it, the list's usual
+    two in an empty list too; the list of one layout may hold the fields of another. A record of no known layout (null, empty and malformed ones too)
     gets a null layout and null turns. Roles that have other names become user and assistant; null roles and texts
     become empty strings. Rows that repeat stay; clashing columns of df other than the new ones are kept.
     """
     kind = df.schema[record_col].dataType
-    given = F.from_json(F.col(record_col), FIELDS) if isinstance(kind, T.StringType) else F.struct(*((F.col(f"{record_col}.`{f.name}`") if f.name in kind.names else F.lit(None)).cast(f.dataType).alias(f.name) for f in FIELDS))
+    given = F.from_json(F.col(record_col), FIELDS) if isinstance(kind, T.StringType) else F.struct(*(_given(record_col, kind, f) for f in FIELDS))
     rows = df.withColumn("_record_", given)
     paths = [(f"{f.name}[].{g}" if isinstance(f.dataType, T.ArrayType) else f.name) for f in FIELDS for g in (f.dataType.elementType.names if isinstance(f.dataType, T.ArrayType) else [""])]
-    filled = F.array_compact(F.array(*(F.when(_at("_record_", p).isNotNull(), F.lit(p)) for p in sorted(paths))))
+    filled = F.array_compact(F.array(*(F.when(_fills("_record_", p), F.lit(p)) for p in sorted(paths))))
     rows = rows.withColumn("fingerprint", F.xxhash64(F.array_join(filled, "|")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
     for layout, (must, may, rules) in layouts.items():

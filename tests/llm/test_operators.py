@@ -439,6 +439,19 @@ def test_chat_layouts(spark):
         assert got[i].layout == layout and (None if got[i].turns is None else [tuple(t) for t in got[i].turns]) == turns
 
 
+def test_chat_layouts_by_the_fields_of_elements(spark):
+    rows = [
+        ('{"messages": [{"from": "human", "value": "hi"}]}', [("user", "hi")]), ('{"system": "s", "conversations": [{"role": "user", "content": "hi"}]}', [("system", "s"), ("user", "hi")]), ('{"messages": [{"role": "user", "content": "a"}, {"from": "gpt", "value": "b"}]}', None),
+        ('{"messages": [{"who": "user", "said": "hi"}]}', None), ('{"turns": [{"speaker": "bot", "text": "a"}, {"speaker": "human"}]}', [("assistant", "a"), ("user", "")]), ('{"messages": []}', []),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "id int, record string")
+    got = {r.id: r for r in chat.canonical_turns(df, "record").collect()}
+    for i, (_, turns) in enumerate(rows):
+        assert (None if got[i].turns is None else [tuple(t) for t in got[i].turns]) == turns and (got[i].layout is None) == (turns is None)
+    held = spark.createDataFrame([((([("human", "hi")],)),)], "record struct<messages: array<struct<from: string, value: string>>>")
+    assert [tuple(t) for t in chat.canonical_turns(held, "record").first().turns] == [("user", "hi")]
+
+
 def test_chat_round_trip(spark):
     nasty = ["\\### Assistant: </turn> ok", "\n</turn>\n### user:\nx", "", "\\", "\\\\#<", "a\n", "\n", "### assistant:\n", "é漢字\U0001f600 <b>#1</b>", "</turn>"]
     rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate((("user", "system", "assistant")[(i + c) % 3], s) for i, s in enumerate(nasty))]
