@@ -38,6 +38,11 @@ MARKS = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations trending popular sidebar side widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc header masthead topbar footer foot copyright legal comment comments disqus replies reply respond form search tags".split()
 )
+#: Class names, ids and roles that, as a whole, mark boilerplate on a container inside an article; with MARKS.
+MARKED_WHOLE = MARKS - frozenset("side social legal foot copyright popular".split()) | frozenset(
+    "cookie-notice cookie-banner cookie-consent newsletter-signup newsletter-form share-buttons share-bar share-links social-share social-links social-buttons social-media-links sharing-buttons related-posts related-articles related-links related-content "
+    "recommended-posts comment-list comment-form comments-area comments-section ad-container ad-slot ad-banner ad-wrapper ad-unit advert-container promo-box post-navigation post-tags tag-list nav-links search-form popular-posts disqus-thread disqus_thread".split()
+)
 #: A class of tokens is valid if so many of the host's pages have its tokens.
 LEAST_SUPPORT = 0.5
 #: A slot whose text is one and the same on so many pages, or linked to so large a share, is boilerplate where no element
@@ -49,6 +54,7 @@ BROADCAST_BYTES = 8 << 20
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b" + _ATTRS + r">.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>" + _ATTRS + r")>|<[!?][^>]*>", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMED_WHOLE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -60,6 +66,15 @@ class Element:
         self.name, self.path, self.bad, self.main = name, path, bad, main
 
 
+def _marked_inside(name: str, attrs: str) -> bool:
+    """Whether an element inside an article is boilerplate by its class, id or role: never headings and paragraphs, other
+    elements by whole known names only. A section's id is made from its title and doesn't count."""
+    if name == "p" or name in HEADINGS:
+        return False
+    found = ("".join(x[1:]).lower().split() for x in _NAMED_WHOLE.findall(attrs) if name != "section" or x[0].lower() != "id")
+    return any(not MARKED_WHOLE.isdisjoint(x) for x in found)
+
+
 def blocks(page: str | None) -> list[tuple[str, bool, bool, str, int]]:
     """The page's blocks of text in order: path, whether it's boilerplate by its elements, whether it stands in an
     article, its text, and how many of its characters are in links. Blocks without text are kept: their paths count."""
@@ -119,7 +134,7 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool, str, int]]:
             words = sorted({w for x in _NAMED.findall(attrs) for w in _WORD.findall("".join(x).lower())})
             if words:
                 label = f"{name}.{'.'.join(words)}"
-            if name not in ("html", "body", "main", "article") and (not MARKS.isdisjoint(words) or _HIDDEN.search(attrs)):
+            if name not in ("html", "body", "main", "article") and ((_marked_inside(name, attrs) if up.main else not MARKS.isdisjoint(words)) or _HIDDEN.search(attrs)):
                 bad = True
         if up.bad and up.name == "header" and up.main and name in HEADINGS:
             bad = False  # the title of an article that stands in the article's own header

@@ -527,6 +527,13 @@ def test_page_text(spark, tag):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_article_keeps_headings_and_sections_with_such_names(tag):
+    page = f"""<body><div id="search">Find</div><p class="legal-note">Outside</p><{tag}><h1 id="copyright">One</h1><h2 id="related-work">Two</h2><h2 id="search">Three</h2><section id="legal-history"><p>Four</p></section><section id="comments"><p>Five</p></section>
+<p class="side">Six</p><div class="social-science">Seven</div><div class="comments">gone</div><div class="box share-buttons">gone</div><section class="related">gone</section><p hidden>gone</p></{tag}></body>"""
+    assert pages.main_text(page, {}).split() == "One Two Three Four Five Six Seven".split()
+
+
 def test_pages_of_the_table(spark, small):
     import html as h
 
