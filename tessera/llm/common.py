@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -14,31 +16,76 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Rows of a batch that goes to Python, see short_batches().
 ROWS = 2000
+#: Tables that stash() wrote and nothing has deleted yet.
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. The session names it in spark.checkpoint.dir; only where that is unset, as in
-    tests on one machine, a local folder is taken."""
+    """The folder that all executors see. The session names it in spark.checkpoint.dir; where that is unset a session on
+    one machine takes a local folder, and one on a cluster is an error, since executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns a read of it: lineage ends there, and a lost executor
-    costs a read, not a recomputation."""
+    costs a read, not a recomputation. The table goes with unstash(), with the scratch() around it, or with the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex[:12]}/{name}"
+    if not _WRITTEN:
+        atexit.register(_sweep, 0)
+    _WRITTEN.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at.getParent(), True)
+
+
+def _sweep(first: int) -> None:
+    """Deletes what was written from the `first` table on; a session that is gone can't delete any more."""
+    while len(_WRITTEN) > first:
+        spark, path = _WRITTEN.pop()
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+
+
 def unstash(df: DataFrame) -> None:
     """Deletes a table that stash() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] != df._stash_path]
+    _delete(df.sparkSession, df._stash_path)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes the tables that are written inside at its end: for steps whose result is then written elsewhere."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _sweep(first)
+
+
+def free_name(name: str, *taken: str) -> str:
+    """The name, with as many underscores behind it as it takes to differ from those taken, whatever their case."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names: an operator's results replace columns of the same name."""
+    low = {n.lower() for n in names}
+    return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in low))
 
 
 def short_batches(df: DataFrame) -> DataFrame:
@@ -93,26 +140,29 @@ def binary_matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
 # ---- dense vectors ---------------------------------------------------------------------------------------------------
 
 
-def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """(vec_id long, vec binary: little-endian float32) of the rows that can take part, and the dimension.
+def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, str]:
+    """(vec_id long, vec binary: little-endian components) of the rows that can take part, the dimension and the type of
+    a component: float32 for an array of floats, else float64, so that values are those of the column.
 
-    Null vectors, zero vectors, vectors holding null or non-finite components, and vectors whose length isn't the most
-    frequent one take no part. The dimension is 0 for a table without vectors.
+    Null vectors, zero vectors and vectors holding null or non-finite components take no part. The dimension is that of
+    the longest vector; shorter ones count as if zeros followed. It is 0 for a table without vectors.
     """
+    kind = "<f4" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     v = F.col("vec")
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("vec"))
     ok = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.where(F.coalesce(ok, F.lit(False)))
-    top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    dim = top[0]["d"] if top else 0
-    rows = rows.where(F.size("vec") == dim)
+    dim = rows.agg(F.max(F.size("vec"))).first()[0] or 0
 
     def pack(batches):
         for b in batches:
-            m = np.ascontiguousarray(b.column(1).flatten().to_numpy(zero_copy_only=False), "<f4").reshape(b.num_rows, max(dim, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in m], pa.binary())], ["vec_id", "vec"])
+            v = b.column(1)
+            flat, size = np.ascontiguousarray(v.flatten().to_numpy(zero_copy_only=False), kind), np.diff(v.offsets.to_numpy())
+            ends = np.cumsum(size)
+            made = [flat[e - n : e].tobytes().ljust(dim * flat.itemsize, b"\0") for e, n in zip(ends.tolist(), size.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["vec_id", "vec"])
 
-    return rows.mapInArrow(pack, "vec_id long, vec binary"), dim
+    return rows.mapInArrow(pack, "vec_id long, vec binary"), dim, kind
 
 
 # ---- equal keys: sorted runs, hot keys split into pairs of chunks ----------------------------------------------------

@@ -2,26 +2,30 @@
 
 Every string of K bytes has a smallest anchor (the 8-gram with the least hash in it), the same wherever the string
 stands. Strings with one anchor position form a segment; segments travel to a bucket by their anchor, so equal strings
-meet there. Within a bucket, suffixes that may be equal are sorted by mergesort: prefix polynomial hashes and a binary
-search find the common extension of two suffixes, and strings that the hashes call equal are compared byte by byte. The
-smallest doc_id of each class of equal strings keeps it.
+meet there. Within a bucket, suffixes are grouped by their anchor, its place in them and the bytes on one side of it, and
+each group is sorted by mergesort: prefix polynomial hashes and a binary search find the common extension of two
+suffixes, the byte behind it their order. Neighbours in that order whose common extension is K bytes are compared byte by
+byte; equal ones are a class, and the smallest doc_id of a class keeps the string.
 
 Before anything is sent, each block of documents does the same within itself and sends only one document's copy of each
-string: no string, however frequent, gathers more rows in a bucket than there are blocks.
+string. Anchors that a bounded sample shows to be frequent meet in two steps: first those of FAN blocks each, and of every
+string only the copy that is left travels on. So no group grows with the number of blocks.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import short_batches
+
 #: Bytes of a string that counts, and of an anchor.
 K, ANCHOR = 50, 8
 _STARTS = K - ANCHOR + 1
@@ -29,7 +33,10 @@ _STARTS = K - ANCHOR + 1
 _ARM = (K - ANCHOR + 1) // 2
 _GRAM = ANCHOR + _ARM
 #: Bytes of documents that are worked on at once, of segments in a bucket's share, and of documents for each bucket.
-BLOCK, SHARE, BUCKET = 4 << 20, 2 << 20, 16 << 20
+BLOCK, SHARE, BUCKET = 4 << 20, 2 << 20, 12 << 20
+#: Blocks whose segments of a frequent anchor meet first; bytes of documents that show, by a hash of their ids, which
+#: anchors are frequent, and in how many of these documents such an anchor stands. With fewer blocks none is.
+FAN, SAMPLE, FREQUENT = 1024, 128 << 20, 3
 _POSITION = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _LEVEL = 3
@@ -86,35 +93,33 @@ class Prefixes:
         return np.sign(self.data[x + at].astype(np.int16) - self.data[y + at].astype(np.int16))
 
 
-def suffix_sort(prefixes: Prefixes, at: np.ndarray, group: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_sort(prefixes: Prefixes, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the suffixes `at` by group and then by their first K bytes, and which of them have the K bytes of the
-    one before. whole: the hashes of those bytes; group must not separate equal strings.
+    one before.
 
     Mergesort of all groups at once: in each round every suffix finds its place in the sorted neighbour block of its
-    group by binary search. A comparison is one of the hashes of all K bytes, and where those differ, one of the first
-    bytes behind the common extension.
+    group by binary search. A comparison first looks at the hashes of all K bytes; where those differ, the common
+    extension tells which byte decides.
     """
     order = np.argsort(group, kind="stable")
     n = len(order)
     if not n:
         return order, np.zeros(0, bool)
+    whole = prefixes.of(at, K)
     g = group[order]
     first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     size = np.diff(np.append(first, n))
     start = np.repeat(first, size)
     end = start + np.repeat(size, size)
-    # A group whose hashes of all K bytes are the same is in order as it is.
-    mixed = np.repeat(np.minimum.reduceat(whole[order], first) != np.maximum.reduceat(whole[order], first), size)
-    width, slots = 1, np.flatnonzero(mixed)
-    while len(slots) and width < (end - start)[slots].max():
-        live = slots[(end - start)[slots] > width]
-        rank = live - start[live]
+    width, slots = 1, np.arange(n)
+    while len(slots := slots[(end - start)[slots] > width]):
+        rank = slots - start[slots]
         block = rank // width
         left = block % 2 == 0
-        base = start[live] + (block ^ 1) * width
-        low, high = np.minimum(base, end[live]), np.minimum(base + width, end[live])
+        base = start[slots] + (block ^ 1) * width
+        low, high = np.minimum(base, end[slots]), np.minimum(base + width, end[slots])
         base = low.copy()
-        mine = order[live]
+        mine = order[slots]
         open_ = np.flatnonzero(low < high)
         while len(open_):
             middle = (low[open_] + high[open_]) >> 1
@@ -125,9 +130,8 @@ def suffix_sort(prefixes: Prefixes, at: np.ndarray, group: np.ndarray, whole: np
             low[open_] = np.where(before, middle + 1, low[open_])
             high[open_] = np.where(before, high[open_], middle)
             open_ = open_[low[open_] < high[open_]]
-        place = start[live] + (block // 2) * 2 * width + (rank - block * width) + (low - base)
         moved = order.copy()
-        moved[place] = mine
+        moved[start[slots] + (block // 2) * 2 * width + (rank - block * width) + (low - base)] = mine
         order, width = moved, width * 2
     same = np.zeros(n, bool)
     x, y = at[order[1:]], at[order[:-1]]
@@ -151,7 +155,7 @@ def alike(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) ->
 @dataclass
 class Segments:
     """Stretches of documents: bytes one after the other, lengths, the anchor's place in each, the document's row in
-    `docs` and the place of the stretch in it. docs: ids, checksums of texts."""
+    `docs` and the place of the stretch in it. docs: ids, digests of texts."""
 
     data: np.ndarray
     length: np.ndarray
@@ -193,8 +197,8 @@ def later_strings(prefixes: Prefixes, start: np.ndarray, s_length: np.ndarray, a
     """Segment and offset of every string that also stands in a document with a smaller id, for segments at start in
     prefixes.data, of documents `ids`.
 
-    Segments that a smaller document has as a whole are late as a whole, and left out then. Two equal strings share the
-    anchor and _ARM bytes on one side of it, so segments whose two such stretches are unique have no twins.
+    Segments that a smaller document has as a whole are late as a whole, and left out then. Equal strings have the anchor
+    at one place, and with it the same _ARM bytes on one side of it: that is their group, whose suffixes are sorted.
     """
     gone = later_segments(prefixes, start, s_length, ids)
     a = start + anchor
@@ -202,11 +206,11 @@ def later_strings(prefixes: Prefixes, start: np.ndarray, s_length: np.ndarray, a
     left = prefixes.of(np.where(has_left, a - _ARM, 0), np.where(has_left, _GRAM, 0))
     right = prefixes.of(np.where(has_right, a, 0), np.where(has_right, _GRAM, 0))
     seg, offset = strings_of(np.flatnonzero(_repeated(left, has_left) | _repeated(right, has_right)), s_length)
-    at = start[seg] + offset
-    whole = prefixes.of(at, K)
-    may = np.flatnonzero(_repeated(whole, np.ones(len(whole), bool)))
-    seg, offset, at, whole = seg[may], offset[may], at[may], whole[may]
-    order, same = suffix_sort(prefixes, at, mix(whole) >> np.uint64(16), whole)
+    place = anchor[seg] - offset
+    group = mix(np.where(place >= _ARM, left[seg], right[seg]) + place.astype(np.uint64) * np.uint64(_BASE))
+    some = np.flatnonzero(_repeated(group, np.ones(len(group), bool)))
+    seg, offset, group = seg[some], offset[some], group[some]
+    order, same = suffix_sort(prefixes, start[seg] + offset, group)
     late = np.zeros(len(order), bool)
     if len(order):
         owner, first = ids[seg[order]], np.flatnonzero(~same)
@@ -280,8 +284,9 @@ def _unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
     return out
 
 
-_SEGMENT = ("u1", "u1", "u1", "<u4", "<u4", "<i8", "<u4")
-_REMOVAL = ("<i8", "<u4", "<u4", "<u2")
+_SEGMENT = ("u1", "u1", "u1", "<u4", "<u4", "<i8", "<u8")
+_REMOVAL = ("<i8", "<u8", "<u4", "<u2")
+_SENT = "part long, kind int, blob binary"
 
 
 def _pack_segments(s: Segments) -> bytes:
@@ -295,14 +300,19 @@ def _unpack_segments(blob: bytes) -> Segments:
     return Segments(data, length.astype(np.int64), anchor.astype(np.int64), np.cumsum(step.view("<i4").astype(np.int64)), place.astype(np.int64), ids, sums)
 
 
-def dest_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64) * np.uint64(_BASE)) % np.uint64(parts)).astype(np.int64)
+def digest(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw)
+
+
+def dest_of(ids: np.ndarray, sums: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each row, by its id and text: rows of one id, or without one, don't gather in a part."""
+    return (mix(ids.astype(np.int64).view(np.uint64) * np.uint64(_BASE) + mix(sums.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
 
 
 def _removals(ids, sums, place, n, parts: int):
     """(part, blob) of removed stretches: n strings from place on, by the part of their document."""
-    to = dest_of(ids, parts)
-    order = np.lexsort((place, ids, to))
+    to = dest_of(ids, sums, parts)
+    order = np.lexsort((place, sums, ids, to))
     to, ids, sums, place, n = to[order], ids[order], sums[order], place[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
     for a, b in zip(first, [*first[1:], len(to)]):
@@ -310,33 +320,92 @@ def _removals(ids, sums, place, n, parts: int):
 
 
 def _blocks(batches):
-    """Documents by blocks: bytes, and for each piece the id, checksum and place in its text. A text longer than a block
-    is cut into pieces that overlap by K - 1 bytes."""
+    """Documents by blocks: id, digest and place in the text of each piece, and its bytes. A text longer than a block is
+    cut into pieces that overlap by K - 1 bytes."""
     held, size = [], 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             raw = (t or "").encode("utf-8", "surrogatepass")
             if i is None or len(raw) < K:
                 continue
-            crc = zlib.crc32(raw)
+            own = digest(raw)
             for a in range(0, max(1, len(raw) - K + 1), BLOCK - K):
                 piece = raw[a : a + BLOCK]
                 if held and size + len(piece) > BLOCK:
                     yield held
                     held, size = [], 0
-                held.append((i, crc, a, piece))
+                held.append((i, own, a, piece))
                 size += len(piece)
     if held:
         yield held
 
 
-def _send(parts: int):
+def _left_over(start, length, anchor, seg, offset):
+    """Start, length and anchor of what is left of the segments without the strings (seg, offset): segments without such
+    strings as a whole, the others in the stretches between those; in order."""
+    touched = np.zeros(len(start), bool)
+    touched[seg] = True
+    some = np.flatnonzero(touched)
+    each, off = strings_of(some, length)
+    base = np.zeros(len(start), np.int64)
+    base[some] = np.cumsum(length[some] - (K - 1)) - (length[some] - (K - 1))
+    gone = np.zeros(len(each), bool)
+    gone[base[seg] + offset] = True
+    s, o, n = runs(each[~gone], off[~gone])
+    whole = np.flatnonzero(~touched)
+    a_start, a_length, a_anchor, of = np.concatenate([start[whole], start[s] + o]), np.concatenate([length[whole], n + K - 1]), np.concatenate([anchor[whole], anchor[s] - o]), np.concatenate([whole, s])
+    order = np.argsort(a_start, kind="stable")
+    return a_start[order], a_length[order], a_anchor[order], of[order]
+
+
+def _by_part(to: np.ndarray, first: int = 0):
+    """(part, rows) of each part that has some."""
+    order = np.argsort(to, kind="stable")
+    used = np.unique(to)
+    edges = np.searchsorted(to[order], np.append(used, np.iinfo(np.int64).max))
+    for part, a, b in zip(used.tolist(), edges[:-1], edges[1:]):
+        yield first + part, order[a:b]
+
+
+def _sent(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
+
+
+def _anchors_of(batches):
+    """Anchors, and in how many documents of a block each stands."""
+    for held in _blocks(batches):
+        data = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
+        doc = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
+        start, _, anchor = cut(data, doc)
+        key, own = anchors(data, start + anchor), doc[start]
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])]) if len(key) else np.zeros(0, bool)
+        got, n = np.unique(key[once], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+
+def frequent_anchors(rows: DataFrame, size: int) -> np.ndarray:
+    """Sorted anchors that stand in FREQUENT of the sampled documents at least: SAMPLE / FREQUENT at most, whatever size
+    the table has."""
+    if size <= FAN * BLOCK:
+        return np.zeros(0, np.uint64)
+    share = int(min(1.0, SAMPLE / size) * (1 << 30))
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("anchors"), "doc_id"), F.lit(1 << 30)) < share)
+    found = drawn.mapInArrow(_anchors_of, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("anchor")
+    return np.sort(found.toArrow()["anchor"].to_numpy().view(np.uint64))
+
+
+def _send(parts: int, hot: np.ndarray, salts: int):
+    """Segments to the bucket of their anchor, removals to the part of their document. Segments of frequent anchors go
+    to buckets of their own, from `parts` on, by anchor and salt; a block has one salt."""
+
     def run(batches):
         for held in _blocks(batches):
             data = np.frombuffer(b"".join(x[3] for x in held), np.uint8)
             sizes = np.array([len(x[3]) for x in held])
             offsets = np.cumsum(sizes) - sizes
-            ids, sums = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], "<u4")
+            ids, sums = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.uint64)
             shift = np.array([x[2] for x in held], np.int64) - offsets
             doc = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
             start, length, anchor = cut(data, doc)
@@ -344,43 +413,30 @@ def _send(parts: int):
             prefixes = Prefixes(data)
             seg, offset = later_strings(prefixes, start, length, anchor, ids[mine])
             del prefixes
-            out_part, out_kind, out_blob = [], [], []
             s, o, n = runs(seg, offset)
-            for part, blob in _removals(ids[mine[s]], sums[mine[s]], shift[mine[s]] + start[s] + o, n, parts):
-                out_part.append(part), out_kind.append(1), out_blob.append(blob)
-            # Segments without late strings travel whole, the others in the stretches between those.
-            touched = np.zeros(len(start), bool)
-            touched[seg] = True
-            some = np.flatnonzero(touched)
-            each, off = strings_of(some, length)
-            base = np.zeros(len(start), np.int64)
-            base[some] = np.cumsum(length[some] - (K - 1)) - (length[some] - (K - 1))
-            gone = np.zeros(len(each), bool)
-            gone[base[seg] + offset] = True
-            s, o, n = runs(each[~gone], off[~gone])
-            whole = np.flatnonzero(~touched)
-            a_start = np.concatenate([start[whole], start[s] + o])
-            a_length = np.concatenate([length[whole], n + K - 1])
-            a_anchor = np.concatenate([anchor[whole], anchor[s] - o])
-            order = np.argsort(a_start, kind="stable")
-            a_start, a_length, a_anchor = a_start[order], a_length[order], a_anchor[order]
-            to = (anchors(data, a_start + a_anchor) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(parts + 1))
-            for part in range(parts):
-                i = order[edges[part] : edges[part + 1]]
-                if len(i):
-                    d = doc[a_start[i]]
-                    got = Segments(gather(data, a_start[i], a_length[i]), a_length[i], a_anchor[i], d, a_start[i] + shift[d], ids, sums)
-                    out_part.append(part), out_kind.append(0), out_blob.append(_pack_segments(got))
-            yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int64()), pa.array(out_kind, pa.int32()), pa.array(out_blob, pa.binary())], ["part", "kind", "blob"])
+            out = [(part, 1, blob) for part, blob in _removals(ids[mine[s]], sums[mine[s]], shift[mine[s]] + start[s] + o, n, parts)]
+            start, length, anchor, _ = _left_over(start, length, anchor, seg, offset)
+            key = anchors(data, start + anchor)
+            to = (key % np.uint64(parts)).astype(np.int64)
+            if len(hot):
+                salt = sums[0] % np.uint64(salts)
+                often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                to[often] = parts + (mix(key[often] + salt * np.uint64(_BASE)) % np.uint64(parts)).astype(np.int64)
+            for part, i in _by_part(to):
+                d = doc[start[i]]
+                out.append((part, 0, _pack_segments(Segments(gather(data, start[i], length[i]), length[i], anchor[i], d, start[i] + shift[d], ids, sums))))
+            yield _sent(out)
 
     return run
 
 
 def _meet(parts: int):
+    """What meets in a bucket: removals; from a bucket of frequent anchors also what is left of its segments, to the
+    bucket where all salts of the anchor meet, from 2 * parts on."""
+
     def run(table: pa.Table) -> pa.Table:
-        out = [(int(p.as_py()), b.as_py()) for p, k, b in zip(table["part"], table["kind"], table["blob"]) if k.as_py() == 1]
+        out = [(p.as_py(), 1, b.as_py()) for p, k, b in zip(table["part"], table["kind"], table["blob"]) if k.as_py() == 1]
+        own = next((p.as_py() for p, k in zip(table["part"], table["kind"]) if k.as_py() == 0), 0)
         got = [_unpack_segments(b.as_py()) for k, b in zip(table["kind"], table["blob"]) if k.as_py() == 0]
         if got:
             data = np.concatenate([s.data for s in got])
@@ -390,28 +446,32 @@ def _meet(parts: int):
             del got
             start = np.cumsum(length) - length
             share = max(1, -(-len(data) // SHARE))
-            key = (anchors(data, start + anchor) >> np.uint64(32)) % np.uint64(share)
-            order = np.argsort(key, kind="stable")
-            edges = np.searchsorted(key[order], np.arange(share + 1))
-            found = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                i = order[a:b]
-                if not len(i):
-                    continue
+            key = anchors(data, start + anchor)
+            found, again = [], []
+            for _, i in _by_part(((key >> np.uint64(32)) % np.uint64(share)).astype(np.int64)):
                 near = Prefixes(gather(data, start[i], length[i]))
-                s, o, n = runs(*later_strings(near, np.cumsum(length[i]) - length[i], length[i], anchor[i], ids[i]))
+                first = np.cumsum(length[i]) - length[i]
+                seg, offset = later_strings(near, first, length[i], anchor[i], ids[i])
+                s, o, n = runs(seg, offset)
                 found.append((ids[i[s]], sums[i[s]], place[i[s]] + o, n))
-            if found:
-                out += _removals(*(np.concatenate(c) for c in zip(*found)), parts)
-        return pa.table({"part": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
+                if parts <= own < 2 * parts:
+                    a_start, a_length, a_anchor, of = _left_over(first, length[i], anchor[i], seg, offset)
+                    to = (key[i[of]] % np.uint64(parts)).astype(np.int64)
+                    for part, j in _by_part(to, 2 * parts):
+                        k = i[of[j]]
+                        left = Segments(gather(near.data, a_start[j], a_length[j]), a_length[j], a_anchor[j], np.arange(len(j)), place[k] + a_start[j] - first[of[j]], ids[k], sums[k])
+                        again.append((part, 0, _pack_segments(left)))
+            out += [(part, 1, blob) for part, blob in _removals(*(np.concatenate(c) for c in zip(*found)), parts)] + again
+        return pa.Table.from_batches([_sent(out)])
 
     return run
 
 
 def _texts(parts: int):
-    """Documents by part, compressed: the texts cross the network once."""
+    """Documents by part, compressed: the texts cross the network once. Rows without an id go anywhere."""
 
     def run(batches):
+        dealt = 0
         for b in batches:
             ids = b.column(0).to_pylist()
             raws = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
@@ -423,13 +483,14 @@ def _texts(parts: int):
                     e += 1
                 null = np.array([i is None for i in ids[a:e]], "u1")
                 some = np.array([0 if i is None else i for i in ids[a:e]], np.int64)
-                to = dest_of(some, parts)
+                sums = np.array([digest(r) for r in raws[a:e]], np.uint64)
+                to = dest_of(some, sums + null * (np.arange(e - a, dtype=np.uint64) + np.uint64(dealt)), parts)
+                dealt += e - a
                 rows = []
-                for part in np.unique(to).tolist():
-                    i = np.flatnonzero(to == part)
+                for part, i in _by_part(to):
                     text = np.frombuffer(b"".join(raws[a + j] for j in i), np.uint8)
-                    rows.append((part, _pack(text, np.array([len(raws[a + j]) for j in i], "<u8"), some[i], null[i])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
+                    rows.append((part, 0, _pack(text, np.array([len(raws[a + j]) for j in i], "<u8"), some[i], sums[i], null[i])))
+                yield _sent(rows)
                 a = e
 
     return run
@@ -442,10 +503,10 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
     out = []
     removed = [_unpack(b.as_py(), _REMOVAL) for b in right["blob"]]
     ids, sums, place, size = (np.concatenate(c) if removed else np.zeros(0, np.int64) for c in (zip(*removed) if removed else [()] * 4))
-    order = np.lexsort((sums, ids))
+    order = np.argsort(ids, kind="stable")
     ids, sums, place, size = ids[order], sums[order], place[order].astype(np.int64), size[order].astype(np.int64)
     for blob in left["blob"]:
-        text, n, doc, null = _unpack(blob.as_py(), ("u1", "<u8", "<i8", "u1"))
+        text, n, doc, own_sum, null = _unpack(blob.as_py(), ("u1", "<u8", "<i8", "<u8", "u1"))
         ends = np.cumsum(n.astype(np.int64))
         for i in range(len(n)):
             b, e = int(ends[i] - n[i].astype(np.int64)), int(ends[i])
@@ -454,7 +515,7 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
             if null[i] or x == y:
                 out.append((None if null[i] else int(doc[i]), e - b, 0, 0, own.tobytes()))
                 continue
-            mine = np.flatnonzero(sums[x:y] == zlib.crc32(own)) + x
+            mine = np.flatnonzero(sums[x:y] == own_sum[i]) + x
             change = np.bincount(place[mine], minlength=e - b + 1)[: e - b + 1].astype(np.int64) - np.bincount(place[mine] + size[mine], minlength=e - b + 1)[: e - b + 1]
             gone = np.cumsum(change)[: e - b] > 0
             n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
@@ -470,10 +531,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     nothing from others. Rows that repeat a doc_id are one document as to order, and each loses its own bytes. An empty
     table gives an empty one; columns besides doc_id and text are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(12, -(-size // BUCKET))
-    sent = rows.mapInArrow(_send(parts), "part long, kind int, blob binary")
-    removed = sent.groupBy("part").applyInArrow(_meet(parts), "part long, blob binary")
-    texts = rows.mapInArrow(_texts(parts), "part long, blob binary")
-    return texts.groupBy("part").cogroup(removed.groupBy("part")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    hot = frequent_anchors(rows, size)
+    met = rows.mapInArrow(_send(parts, hot, max(1, -(-size // (FAN * BLOCK)))), _SENT).groupBy("part").applyInArrow(_meet(parts), _SENT)
+    if len(hot):
+        met = met.groupBy("part").applyInArrow(_meet(parts), _SENT)
+    texts = rows.mapInArrow(_texts(parts), _SENT)
+    return texts.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
