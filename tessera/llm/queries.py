@@ -110,6 +110,19 @@ e AS (SELECT n, size, sum(size) OVER (ORDER BY time, source_key, pass, place, do
 b AS (SELECT floor(1.5 * sum(size))::BIGINT AS budget FROM sized),
 k AS (SELECT n, sum(greatest(0, least(size, budget - (upto - size)))) AS taken FROM e, b GROUP BY n)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (n)
+""",
+    "op5_suffix": """
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT n, unnest(range(0, greatest(octet_length(b) - 49, 0))) AS p FROM d WHERE doc_id IS NOT NULL),
+g AS (SELECT n, doc_id, p, b[p + 1 : p + 50] AS s FROM places JOIN d USING (n)),
+late AS (SELECT n, p FROM (SELECT n, p, doc_id, min(doc_id) OVER (PARTITION BY s) AS first FROM g) WHERE doc_id > first),
+runs AS (SELECT n, p, sum(fresh) OVER (PARTITION BY n ORDER BY p) AS run FROM (SELECT n, p, CASE WHEN p <= lag(p) OVER (PARTITION BY n ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM late)),
+gone AS (SELECT n, min(p) AS a, max(p) + 50 AS z FROM runs GROUP BY n, run),
+ends AS (SELECT n, a, z FROM gone UNION ALL SELECT n, octet_length(b), octet_length(b) FROM d),
+pieces AS (SELECT n, a, coalesce(lag(z) OVER (PARTITION BY n ORDER BY a, z), 0) AS last FROM ends),
+kept AS (SELECT n, sha256(unhex(string_agg(hex(b[last + 1 : a]), '' ORDER BY a, last))) AS kept_sha256 FROM pieces JOIN d USING (n) GROUP BY n)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256
+FROM d JOIN kept USING (n) LEFT JOIN (SELECT n, sum(z - a) AS n_removed, count(*) AS n_spans FROM gone GROUP BY n) USING (n)
 """,
     "op7_chat": r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -119,5 +132,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + 15 + length(text) + length(regexp_replace(text, '[^#<\\]', '', 'g')))::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id
+""",
+    "op10_vectors": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS component FROM v UNION SELECT p.b, r.component FROM r JOIN p ON p.a = r.node),
+c AS (SELECT node, min(component) AS component FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id)::BIGINT AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
 """,
 }

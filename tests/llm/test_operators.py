@@ -52,15 +52,17 @@ def odd_vectors(spark):
 
 
 def usable(rows, dim):
-    return [(i, v) for i, v in rows if i is not None and v is not None and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    return [(i, [*v, *[0.0] * (dim - len(v))]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
 
 
 def brute_nearest(rows, every, k):
-    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32)
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     out = set()
     for i in sorted({x for x in ids.tolist() if x % every == 0}):
-        q = v[ids == i][:1]
-        d = ann.distances(q, v)[0]
+        d = np.zeros(len(v))
+        for j in range(v.shape[1]):
+            d += (v[ids == i][0, j] - v[:, j]) ** 2
+        d = np.sqrt(d)
         best = {}
         for j, x in zip(ids.tolist(), d.tolist()):
             if j != i:
@@ -86,6 +88,58 @@ def test_nearest_with_repeated_rows(spark):
     assert {tuple(r) for r in ann.nearest(df, every=20, k=10).collect()} == brute_nearest(rows, 20, 10)
 
 
+def test_windows_alone_have_the_recall(spark):
+    """The curves' windows at the scale of the bench, before anything is widened; and on clusters, where they are narrow."""
+    rows = vector_rows(spark, "/root/testdata/sf0.1")
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(200, 32)) * 4
+    clustered = [(i, (centres[i % 200] + rng.normal(size=32) * 0.2).tolist()) for i in range(6000)]
+    for own, table in ((rows, df), (clustered, spark.createDataFrame(clustered, "vec_id long, embedding array<double>"))):
+        want = brute_nearest(own, 100, 10)
+        got = {tuple(r) for r in ann.nearest(table, widen=False).collect()}
+        neighbours = lambda x: {(q, j) for q, _, j, _ in x}
+        assert len(neighbours(got) & neighbours(want)) >= 0.9 * len(want)
+        assert {tuple(r) for r in ann.nearest(table).collect()} == want
+
+
+def test_vectors_of_doubles_keep_their_values(spark):
+    rows = [(0, [0.0, 1.0]), (1, [1e-9, 1.0]), (2, [1e300, 1e300]), (3, [-1e300, 1e300]), (4, [0.5, 1.0]), (5, [1e300, 1.00001e300])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=5, k=3).collect()
+    assert [(r.query_id, r.vec_id) for r in got if r.query_id == 0][:2] == [(0, 1), (0, 4)] and next(r.score for r in got if r.vec_id == 1 and r.query_id == 0) == 1e-9
+    assert [(r.vec_id, r.rank) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 5][0] == (2, 1) and all(np.isfinite(r.score) for r in got)
+    links = {r.vec_id: r.component_id for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert links == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 2}
+
+
+@pytest.mark.parametrize("off", [0.0, 1.0, 3.0])
+def test_planted_links_are_found(spark, off):
+    """Pairs at cosines from 0.95 on, in 64 dimensions, with and without a common direction, beside a hot cluster."""
+    rng = np.random.default_rng(int(off) + 5)
+    common = np.zeros(64)
+    common[0] = off
+    v = [common + rng.normal(size=64) / 8 for _ in range(1500)]
+    pairs = {}
+    for i, c in enumerate(np.tile([0.9502, 0.955, 0.96, 0.98, 0.999], 100)):
+        u = v[i] / np.linalg.norm(v[i])
+        w = rng.normal(size=64)
+        w -= w @ u * u
+        v.append(c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w))
+        pairs[i, len(v) - 1] = c
+    hot = rng.normal(size=64)
+    v += [hot / np.linalg.norm(hot) + rng.normal(size=64) * 0.01 for _ in range(300)]
+    v = np.array(v)
+    u = itq.unit(v)
+    near = u @ u.T >= 0.95
+    want = near.sum(axis=1) - 1
+    df = spark.createDataFrame([(i, x.tolist(), 7) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in itq.near_vectors(df).collect()}
+    assert all(got[i].n_links <= want[i] for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.99 * want.sum()
+    found = {c: sum(got[a].component_id == got[b].component_id for (a, b), x in pairs.items() if x == c) for c in set(pairs.values())}
+    assert min(found.values()) >= 95 and found[0.98] == found[0.999] == 100, found
+
+
 def test_hilbert_neighbours_share_faces():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = cells[np.argsort(ann.hilbert(cells, 3))]
@@ -356,7 +410,7 @@ def test_repeats_across_blocks_and_pieces():
     assert covered == Counter({i: 1 for i in range(len(data) - 49) if doc[i] == doc[i + 49]})
     pre = suffix.Prefixes(data)
     at = np.arange(len(data) - 50)
-    order, same = suffix.suffix_sort(pre, at, np.zeros(len(at), np.int64), pre.of(at, 50))
+    order, same = suffix.suffix_sort(pre, at, np.zeros(len(at), np.int64))
     strings = [bytes(data[i : i + 50]) for i in order]
     assert strings == sorted(strings) and same.tolist() == [False] + [a == b for a, b in zip(strings, strings[1:])]
 
@@ -368,7 +422,7 @@ def test_long_text_in_pieces(spark, monkeypatch):
     texts = [(1, own(2000) + shared + own(2000)), (2, own(5000) + shared + own(100)), (3, shared[100:])]
     monkeypatch.setattr(suffix, "BLOCK", 1024)
     got = Counter()
-    sent = [b for b in suffix._send(4)([_batch(texts)])]
+    sent = [b for b in suffix._send(4, np.zeros(0, np.uint64), 1)([_batch(texts)])]
     by_part = defaultdict(list)
     for b in sent:
         for p, k, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -380,13 +434,36 @@ def test_long_text_in_pieces(spark, monkeypatch):
         out = suffix._meet(4)(pa.table({"part": [p] * len(rows), "kind": [k for k, _ in rows], "blob": [x for _, x in rows]}))
         removed += list(zip(out["part"].to_pylist(), out["blob"].to_pylist()))
     for b in suffix._texts(4)([_batch(texts)]):
-        for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for p, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
             mine = [x for q, x in removed if q == p]
             out = suffix._finish(pa.table({"blob": pa.array([blob], pa.binary())}), pa.table({"blob": pa.array(mine, pa.binary())}))
             got.update((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in out.to_pylist())
     assert got == brute_repeats(texts)
 
 
+@pytest.mark.parametrize("frequent", [1, 3])
+def test_frequent_anchors_meet_in_two_steps(spark, monkeypatch, frequent):
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    line = own(150)
+    texts = [(i, own(rng.randint(0, 80)) + line[rng.randint(0, 90) :] + own(rng.randint(0, 80)) + (line if i % 3 else "")) for i in range(120)]
+    texts += [(None, line), (5, line + "other text of id five"), (7, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for k, v in {"BLOCK": 2048, "FAN": 2, "FREQUENT": frequent}.items():
+        monkeypatch.setattr(suffix, k, v)
+    rows = docs.select("doc_id", "text")
+    assert len(suffix.frequent_anchors(rows, 120 * 250)) > 3
+    assert Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix.remove_repeats(docs).collect()) == brute_repeats(texts)
+
+
+def test_the_sort_compares_suffixes_of_documents(spark, small, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    compared, compare = [], suffix.Prefixes.compare
+    monkeypatch.setattr(suffix.Prefixes, "compare", lambda self, x, y: compared.append(len(x)) or compare(self, x, y))
+    sent = list(suffix._send(4, np.zeros(0, np.uint64), 1)([_batch(rows)]))
+    assert sum(compared) > 1000 and len(sent) >= 1
+
+
 def _batch(texts):
     import pyarrow as pa
 
