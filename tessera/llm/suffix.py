@@ -33,7 +33,7 @@ _STARTS = K - ANCHOR + 1
 _ARM = (K - ANCHOR + 1) // 2
 _GRAM = ANCHOR + _ARM
 #: Bytes of documents that are worked on at once, of segments in a bucket's share, and of documents for each bucket.
-BLOCK, SHARE, BUCKET = 4 << 20, 2 << 20, 12 << 20
+BLOCK, SHARE, BUCKET = 4 << 20, 2 << 20, 16 << 20
 #: Blocks whose segments of a frequent anchor meet first; bytes of documents that show, by a hash of their ids, which
 #: anchors are frequent, and in how many of these documents such an anchor stands. With fewer blocks none is.
 FAN, SAMPLE, FREQUENT = 1024, 128 << 20, 3
@@ -115,23 +115,28 @@ def suffix_sort(prefixes: Prefixes, at: np.ndarray, group: np.ndarray) -> tuple[
     while len(slots := slots[(end - start)[slots] > width]):
         rank = slots - start[slots]
         block = rank // width
-        left = block % 2 == 0
-        base = start[slots] + (block ^ 1) * width
-        low, high = np.minimum(base, end[slots]), np.minimum(base + width, end[slots])
-        base = low.copy()
-        mine = order[slots]
-        open_ = np.flatnonzero(low < high)
+        right = np.flatnonzero(block % 2)
+        # Of two neighbour blocks the right one's suffixes look for their places; the left one's fill the others in order.
+        mine = order[slots[right]]
+        base = start[slots[right]] + (block[right] - 1) * width
+        low, high = base.copy(), base + width
+        open_ = np.arange(len(right))
         while len(open_):
             middle = (low[open_] + high[open_]) >> 1
             x, y = order[middle], mine[open_]
-            before = ~left[open_]
+            before = np.ones(len(open_), bool)
             differ = np.flatnonzero(whole[x] != whole[y])
             before[differ] = prefixes.compare(at[x[differ]], at[y[differ]]) < 0
             low[open_] = np.where(before, middle + 1, low[open_])
             high[open_] = np.where(before, high[open_], middle)
             open_ = open_[low[open_] < high[open_]]
-        moved = order.copy()
-        moved[start[slots] + (block // 2) * 2 * width + (rank - block * width) + (low - base)] = mine
+        place = low + rank[right] - block[right] * width
+        others = np.ones(n, bool)
+        others[slots[right]] = False
+        free = np.ones(n, bool)
+        free[place] = False
+        moved = np.empty_like(order)
+        moved[place], moved[free] = mine, order[others]
         order, width = moved, width * 2
     same = np.zeros(n, bool)
     x, y = at[order[1:]], at[order[:-1]]
@@ -141,14 +146,14 @@ def suffix_sort(prefixes: Prefixes, at: np.ndarray, group: np.ndarray) -> tuple[
 
 
 def alike(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Which stretches of some lengths at x and y have the same bytes: collisions of hashes end here."""
-    out = np.zeros(len(x), bool)
-    for a in range(0, len(x), 1 << 14):
-        n = length[a : a + (1 << 14)]
-        first = np.cumsum(n) - n
-        step = np.arange(n.sum()) - np.repeat(first, n)
-        other = data[np.repeat(x[a : a + (1 << 14)], n) + step] != data[np.repeat(y[a : a + (1 << 14)], n) + step]
-        out[a : a + (1 << 14)] = np.add.reduceat(other, first, dtype=np.int64) == 0
+    """Which stretches of some lengths, of 8 bytes at least, at x and y have the same bytes: collisions of hashes end
+    here."""
+    out = np.ones(len(x), bool)
+    if len(x):
+        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        for j in range(0, int(length.max()), 8):
+            step = np.minimum(j, length - 8)
+            out &= words[x + step] == words[y + step]
     return out
 
 
@@ -284,24 +289,25 @@ def _unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
     return out
 
 
-_SEGMENT = ("u1", "u1", "u1", "<u4", "<u4", "<i8", "<u8")
+_SEGMENT = ("u1", "u1", "u1", "<u4", "<u4", "<i8", "<u4", "<u2")
 _REMOVAL = ("<i8", "<u8", "<u4", "<u2")
-_SENT = "part long, kind int, blob binary"
+_SENT = "part int, kind int, blob binary"
 
 
 def _pack_segments(s: Segments) -> bytes:
     used, doc = np.unique(s.doc, return_inverse=True)
     step = np.diff(doc, prepend=0)
-    return _pack(s.data, s.length.astype("u1"), s.anchor.astype("u1"), step.astype("<i4").view("<u4"), s.place.astype("<u4"), s.ids[used], s.sums[used])
+    return _pack(s.data, s.length.astype("u1"), s.anchor.astype("u1"), step.astype("<i4").view("<u4"), s.place.astype("<u4"), np.diff(s.ids[used], prepend=0), s.sums[used].astype("<u4"), (s.sums[used] >> np.uint64(32)).astype("<u2"))
 
 
 def _unpack_segments(blob: bytes) -> Segments:
-    data, length, anchor, step, place, ids, sums = _unpack(blob, _SEGMENT)
-    return Segments(data, length.astype(np.int64), anchor.astype(np.int64), np.cumsum(step.view("<i4").astype(np.int64)), place.astype(np.int64), ids, sums)
+    data, length, anchor, step, place, ids, low, high = _unpack(blob, _SEGMENT)
+    return Segments(data, length.astype(np.int64), anchor.astype(np.int64), np.cumsum(step.view("<i4").astype(np.int64)), place.astype(np.int64), np.cumsum(ids), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
 
 
 def digest(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw)
+    """48 bits of a text's XXH64: what tells rows of one doc_id apart."""
+    return xxhash.xxh64_intdigest(raw) & ((1 << 48) - 1)
 
 
 def dest_of(ids: np.ndarray, sums: np.ndarray, parts: int) -> np.ndarray:
@@ -368,7 +374,7 @@ def _by_part(to: np.ndarray, first: int = 0):
 
 
 def _sent(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "blob"])
 
 
 def _anchors_of(batches):
@@ -535,7 +541,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(12, -(-size // BUCKET))
     hot = frequent_anchors(rows, size)
-    met = rows.mapInArrow(_send(parts, hot, max(1, -(-size // (FAN * BLOCK)))), _SENT).groupBy("part").applyInArrow(_meet(parts), _SENT)
+    # Buckets are partitions by their number: dealt by a hash, some tasks would get several.
+    met = rows.mapInArrow(_send(parts, hot, max(1, -(-size // (FAN * BLOCK)))), _SENT).repartitionById(parts, "part").groupBy("part").applyInArrow(_meet(parts), _SENT)
     if len(hot):
         met = met.groupBy("part").applyInArrow(_meet(parts), _SENT)
     texts = rows.mapInArrow(_texts(parts), _SENT)
