@@ -501,6 +501,66 @@ def test_language_awkward(spark, medium):
     assert alone[0] == alone[1]
 
 
+def test_filters_by_brute_force(spark):
+    """The masks name every language that contains an n-gram, and popcounts, corrected, give language and score."""
+    rng = random.Random(11)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüéè") for _ in range(rng.randint(2, 7))) for _ in range(40)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang) for i, lang in enumerate(sorted(words) * 12)]
+    filters = langid.learn(spark.createDataFrame([*rows, (None, None, "l00"), (9999, "no language", None)], "doc_id long, text string, lang string"))
+    assert filters.languages == sorted(words) and filters.masks.shape[1] == 2
+    having, n = defaultdict(Counter), Counter()
+    for _, text, lang in rows:
+        n[lang] += 1
+        for g in np.unique(langid.grams([text])[0]).tolist():
+            having[g][lang] += 1
+    contained = {g: {k for k, c in by.items() if c >= 2 and c * (1 / n[k]) >= langid.LEAST_SHARE and c * (1 / n[k]) >= langid.LEAST_RATIO * max(x * (1 / n[y]) for y, x in by.items())} for g, by in having.items()}
+    fill = {k: np.zeros(1 << langid.SLOT_BITS, bool) for k in words}
+    for g, langs in contained.items():
+        for k in langs:
+            for s in langid.slots(np.array([g], np.uint64)):
+                fill[k][s] = True
+    named = lambda m: {filters.languages[i] for i in range(70) if int(m[i // 64]) >> (i % 64) & 1}
+    some = sorted(contained)[::37]
+    for g, m in zip(some, filters.containing(np.array(some, np.uint64))):
+        want = {k for k in words if all(fill[k][s[0]] for s in langid.slots(np.array([g], np.uint64)))}
+        assert named(m) == want >= contained[g]
+    for text, lang in [(t, k) for _, t, k in rows[:210:3]]:
+        h = langid.grams([text])[0]
+        found = {k: sum(all(fill[k][s[0]] for s in langid.slots(np.array([g], np.uint64))) for g in h) for k in (lang, "l00", "l69")}
+        fp = {k: fill[k].mean() ** langid.HASHES for k in found}
+        true = {k: max(0, (found[k] - fp[k] * len(h)) / (1 - fp[k])) for k in found}
+        got, score, coverage = filters.predict([text])
+        assert got == [lang] and coverage[0] == pytest.approx(true[lang] / len(h)) and 0 < score[0] <= 1
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    texts = [*TEXTS, "ὈΔΥΣΣΕΎΣ ΣΣ " * 50, "ab" * 500, " " * 700 + "x" + "!" * 700]
+    filters = langid.Filters(["a", "b"], np.random.default_rng(1).integers(0, 4, (1 << langid.SLOT_BITS, 1)).astype(np.uint64))
+    want = filters.predict(texts)
+    whole = [np.sort(langid.grams([t])[0]) for t in texts]
+    for most in (1, 3, 64, 500):
+        monkeypatch.setattr(langid, "TOGETHER", most)
+        assert all(np.array_equal(np.sort(np.concatenate([h for h, _ in langid.gram_parts(t)])), w) for t, w in zip(texts, whole))
+        got = filters.predict(texts)
+        assert got[0] == want[0] and np.allclose(got[1], want[1]) and np.allclose(got[2], want[2])
+
+
+def test_a_very_long_text_takes_little_memory():
+    import subprocess
+    import sys
+
+    code = "import resource, numpy as np; from tessera.llm import langid; f = langid.Filters(['a', 'b'], np.ones((1 << langid.SLOT_BITS, 1), np.uint64)); f.predict(['x']); a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; f.predict(['der Hund '  * 2_200_000]); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 500
+
+
+def test_language_with_clashing_columns(spark, medium):
+    filters = langid.learn(spark.read.parquet(f"{medium}/documents.parquet"))
+    docs = spark.createDataFrame([(1, "the cat and the dog", 5, 0.5, "x", "y")], "doc_id long, text string, coverage int, score double, lang_pred string, _text_ string")
+    got = langid.identify(docs, filters, docs.columns)
+    assert got.columns == [*docs.columns, "lang_pred_", "score_", "coverage_"] and tuple(got.first())[:6] == tuple(docs.first())
+    assert langid.identify(docs, filters, ["_text_", "score"]).first()[:2] == ("y", 0.5)
+
+
 # ---- 7: chat ---------------------------------------------------------------------------------------------------------
 
 
