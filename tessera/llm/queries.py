@@ -36,7 +36,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "finish")
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number
 """,
     "op4_mixing": r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place, coalesce('=' || source, 'null') AS source_key FROM documents),
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS place, coalesce('=' || source, 'null') AS source_key FROM documents),
 s AS (SELECT source_key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source_key),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w, (sum(source_size) OVER ())::BIGINT AS total, source_size * 2 AS cap FROM s),
 l AS (SELECT *, row_number() OVER (ORDER BY cap / w, source_key) AS rank,
@@ -109,7 +109,7 @@ items AS (SELECT q.*, pass, (upto + pass * source_size)::DOUBLE / target AS time
 e AS (SELECT n, size, sum(size) OVER (ORDER BY time, source_key, pass, place, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM items),
 b AS (SELECT floor(1.5 * sum(size))::BIGINT AS budget FROM sized),
 k AS (SELECT n, sum(greatest(0, least(size, budget - (upto - size)))) AS taken FROM e, b GROUP BY n)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (n)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, CASE WHEN size > 0 AND target > 0 THEN upto::DOUBLE / target END AS finish FROM q LEFT JOIN k USING (n)
 """,
     "op5_suffix": """
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS b FROM documents),

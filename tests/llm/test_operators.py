@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -329,7 +331,7 @@ def test_components(spark):
 # ---- 4: mixing -------------------------------------------------------------------------------------------------------
 
 
-def test_mix_awkward(spark, monkeypatch):
+def test_mix_awkward(spark):
     docs = awkward(spark, TEXTS + [f"some words of document {i} " * (i % 7) for i in range(200)])
     got = mixing.mix(docs).collect()
     rows = docs.collect()
@@ -356,12 +358,38 @@ def test_mix_awkward(spark, monkeypatch):
     longest = max(r.size for r in got)
     assert all(abs(taken[s] - share[s]) <= longest for s in names) and sum(taken.values()) == int(1.5 * total)
     assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, got))
-    with monkeypatch.context() as m:
-        m.setattr(mixing, "SORTED", 1)  # the range of the cut is divided until it holds one item
-        assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, got))
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and sum(size(r.text) for r in out.collect()) == int(1.5 * total)
-    assert mixing.mix(awkward(spark, [], empty=True)).count() == 0
+    assert mixing.mix(awkward(spark, [], empty=True)).count() == mixing.mixed_documents(awkward(spark, [], empty=True)).count() == 0
+
+
+def test_the_mix_comes_in_the_order_of_a_fair_queue(spark):
+    """Against a queue that serves, word budget by word budget, the document that finishes first."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(rng.randint(1, 30))), f"s{rng.choice('aaaabbc')}", i * 10, -i) for i in range(300)]
+    rows += [(i, f"null source {i}", None, 7, 8) for i in range(300, 320)] + [(None, f"no id {i}", "sa", 1, 1) for i in range(20)] + [rows[0]] * 2 + [(400, None, "sa", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _n int, _size int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    path = mixing.stash(out, "mix")._stash_path.removeprefix("file://")
+    assert [tuple(r.values()) for f in sorted(os.listdir(path)) if f.endswith(".parquet") for r in pq.read_table(f"{path}/{f}").to_pylist()] == got  # files in order
+    plan = mixing.mix(docs).collect()
+    target = {r.source: r.target for r in plan}
+    size = lambda t: len((t or "").split())
+    order = lambda r: int(hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
+    queues = {s: sorted((r for r in rows if r[2] == s and size(r[1])), key=lambda r: (order(r), -1 if r[0] is None else r[0])) * 2 for s in target}
+    spent, at, left, want = dict.fromkeys(target, 0), dict.fromkeys(target, 0), int(1.5 * sum(size(r[1]) for r in rows)), []
+    while left > 0:
+        s = min((s for s in target if at[s] < len(queues[s])), key=lambda s: ((spent[s] + size(queues[s][at[s]][1])) / target[s], "null" if s is None else f"={s}"))
+        r = queues[s][at[s]]
+        at[s], spent[s] = at[s] + 1, spent[s] + size(r[1])
+        want.append((r[0], " ".join(r[1].split()[:left]) if size(r[1]) > left else r[1], *r[2:]))
+        left -= size(r[1])
+    assert got == want
+    finish = {(r.doc_id, r.source): r.finish for r in plan if r.doc_id is not None and r.size}
+    first = [finish[r[0], r[2]] for r in dict.fromkeys(got[:-1]) if r[0] is not None]
+    assert first == sorted(first) or len(set(first)) < len(first)
 
 
 # ---- 5: repeated bytes -----------------------------------------------------------------------------------------------
