@@ -118,18 +118,23 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\#<])", r"\\$1")
 
 
+def escape_role(role: Column) -> Column:
+    """As escape(), and a backslash before every line break, which would end the turn's head."""
+    return F.regexp_replace(role, r"([\\#<\n])", r"\\$1")
+
+
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#<])", "$1")
+    return F.regexp_replace(text, r"\\([\\#<\n])", "$1")
 
 
 def format_chat(df: DataFrame, turns_col: str = "turns", learn: str = "assistant") -> DataFrame:
     """df with formatted string and loss array<struct<start, end>>: where the escaped texts of the role `learn` stand in
     it, in code points, end exclusive.
 
-    A turn is `### role:`, a new line, the escaped text, a new line and `</turn>`. In roles, line breaks are written as
-    spaces. Null turns give a null text and mask; no turns give an empty text and mask.
+    A turn is `### role:`, a new line, the escaped text, a new line and `</turn>`. Null turns give a null text and mask;
+    no turns give an empty text and mask. Columns of these names are replaced, others stay.
     """
-    role = lambda t: F.regexp_replace(escape(F.coalesce(t["role"], F.lit(""))), "\n", " ")
+    role = lambda t: escape_role(F.coalesce(t["role"], F.lit("")))
     parts = F.transform(F.col(turns_col), lambda t: F.struct(F.concat(F.lit(OPEN), role(t), F.lit(AFTER_ROLE)).alias("head"), escape(F.coalesce(t["text"], F.lit(""))).alias("body"), F.coalesce(t["role"] == learn, F.lit(False)).alias("learn")))
     rows = df.withColumn("_parts_", parts)
     rows = rows.withColumn("formatted", F.array_join(F.transform("_parts_", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), ""))
@@ -148,8 +153,8 @@ def format_chat(df: DataFrame, turns_col: str = "turns", learn: str = "assistant
 def read_chat(formatted: Column) -> Column:
     """The turns that format_chat() wrote, out of its text alone."""
     segments = F.filter(F.split(formatted, r"\Q" + CLOSE + r"\E", -1), lambda s: s != "")
-    head = r"^### ([^\n]*):\n"
-    return F.transform(segments, lambda s: F.struct(unescape(F.regexp_extract(s, head, 1)).alias("role"), unescape(F.regexp_replace(s, head, "")).alias("text")))
+    head = r"^### ((?:[^\\\n]++|\\[\s\S])*+)\n"  # up to the first line break that isn't escaped; a colon ends it
+    return F.transform(segments, lambda s: F.struct(unescape(F.regexp_replace(F.regexp_extract(s, head, 1), ":$", "")).alias("role"), unescape(F.regexp_replace(s, head, "")).alias("text")))
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
