@@ -10,6 +10,7 @@ import base64
 import os
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tessera.llm.common import short_batches, text_parts
+from tessera.llm.common import free_name, short_batches, text_parts
 
 ENCODED = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())])
 #: Different matches whose ids a worker remembers at most; beyond that it forgets all and starts again.
@@ -83,33 +84,53 @@ class Words:
 
     def __init__(self, text: str, pattern: str, with_offsets: bool):
         self.tokenizer, self.split, self.with_offsets = _loaded(text), regex.compile(pattern).findall, with_offsets
-        self.ids: dict[str, bytes] = {}
-        self.inner: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.counts, self.ids, self.inner = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros((0, 2), "<u4")
 
     def know(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids, self.inner = {}, {}
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > REMEMBERED:
+            self._forget()
             new = list(words)
+        if not new:
+            return
         run = self.tokenizer.encode_batch if self.with_offsets else self.tokenizer.encode_batch_fast
+        counts, ids, inner = [self.counts], [self.ids], [self.inner]
         for a in range(0, len(new), BATCH):  # the library's results are far larger than what is kept of them
-            for w, e in zip(new[a : a + BATCH], run(new[a : a + BATCH], add_special_tokens=False)):
-                self.ids[w] = array("I", e.ids).tobytes()
-                if self.with_offsets:
-                    self.inner[w] = np.array(e.offsets, "<u4").reshape(-1, 2)
+            made = run(new[a : a + BATCH], add_special_tokens=False)
+            got = [e.ids for e in made]
+            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), "<u4"))
+            if self.with_offsets:
+                inner.append(np.array([x for e in made for x in e.offsets], "<u4").reshape(-1, 2))
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.counts, self.ids, self.inner = np.concatenate(counts), np.concatenate(ids), np.concatenate(inner)
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, bytes | None]]:
         """Number of tokens, packed ids and packed offsets of each text."""
         split = [self.split(t) for t in texts]
         self.know(set().union(*split))
+        n_words = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        counts = self.counts[at]
+        starts = np.cumsum(self.counts) - self.counts
+        ends = np.cumsum(counts)
+        pick = np.repeat(starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
+        ids, spans = self.ids[pick], None
+        if self.with_offsets:
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            upto = np.cumsum(size) - size
+            of = np.repeat(np.arange(len(split)), n_words)
+            first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
+            spans = (self.inner[pick] + np.repeat(upto - first[of] if len(words) else upto, counts)[:, None]).astype("<u4")
         out = []
-        for words in split:
-            ids, spans = b"".join(map(self.ids.__getitem__, words)), None
-            if self.with_offsets:
-                starts = np.cumsum([0, *map(len, words)])
-                found = [self.inner[w] + np.uint32(s) for w, s in zip(words, starts)]
-                spans = np.concatenate(found).astype("<u4").tobytes() if found else b""
-            out.append((len(ids) // 4, ids, spans))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            out.append((b - a, ids[a:b].tobytes(), None if spans is None else spans[a:b].tobytes()))
         return out
 
 
@@ -120,36 +141,43 @@ def _words(text: str, pattern: str, with_offsets: bool) -> Words:
 
 
 def encode(df: DataFrame, text_col: str, path: str, pattern: str, keep: list[str], with_offsets: bool = True) -> DataFrame:
-    """The columns `keep`, and n_tokens long, ids binary (4 bytes each) and offsets binary (start and end of each token
-    in code points, 4 bytes each; null without with_offsets; a token inside a character has that character's place).
+    """The columns `keep`, and behind them n_tokens long, ids binary (4 bytes each) and offsets binary (start and end of
+    each token in code points, 4 bytes each; null without with_offsets; a token inside a character has that character's
+    place). Where one of these names is kept, the new column has underscores behind its name.
 
     Ids are those of the ranks, each match of the pattern by itself, without special tokens. A null text counts as empty:
     no tokens. Whole texts are encoded; every different match goes to the library once. Rows that repeat stay; an empty
     table gives an empty one.
     """
     model = df.sparkSession.sparkContext.broadcast(tokenizer_json(path))
-    rows = df.select(*keep, df[text_col].alias("_text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = df.select(*keep, df[text_col].alias(free_name("_text_", *keep)))
+    new = [free_name(x, *keep) for x in ENCODED.names]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"{x} {k}" for x, k in zip(new, ("long", "binary", "binary")))])
 
     def run(batches):
         words = _words(model.value, pattern, with_offsets)
         for b in batches:
             for part, texts in text_parts(b, b.num_columns - 1, TOGETHER):
                 made = zip(*words.encode([t or "" for t in texts]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(made, ENCODED.types))], names=[*part.schema.names[:-1], *ENCODED.names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(made, ENCODED.types))], names=[*part.schema.names[:-1], *new])
 
-    return short_batches(rows).mapInArrow(run, f"{schema}, n_tokens long, ids binary, offsets binary")
+    return short_batches(rows).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids_col: str, path: str, pattern: str, keep: list[str]) -> DataFrame:
-    """The columns `keep`, and decoded binary: the bytes of the packed ids, joined before anything reads them as
-    characters, so that tokens that split a character join again; and text string, null where the bytes aren't UTF-8.
-    Null ids give null; an id outside the vocabulary is an error."""
+    """The columns `keep`, and behind them decoded binary: the bytes of the packed ids, joined before anything reads them
+    as characters, so that tokens that split a character join again; and text string, null where the bytes aren't UTF-8.
+    Where one of these names is kept, the new column has underscores behind its name.
+
+    Null ids give null, no ids an empty text; an id outside the vocabulary is an error. Rows that repeat stay; an empty
+    table gives an empty one.
+    """
     model = df.sparkSession.sparkContext.broadcast(_bytes_by_id(tokenizer_json(path)))
     held = ids_col in keep  # they travel once
-    rows = df.select(*keep) if held else df.select(*keep, df[ids_col].alias("_ids_"))
+    rows = df.select(*keep) if held else df.select(*keep, df[ids_col].alias(free_name("_ids_", *keep)))
     at = keep.index(ids_col) if held else len(keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    decoded = free_name("decoded", *keep)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), f"{decoded} binary"])
 
     def run(batches):
         table = model.value
@@ -157,6 +185,7 @@ def decode(df: DataFrame, ids_col: str, path: str, pattern: str, keep: list[str]
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
                 out = [None if x is None else b"".join(map(table.__getitem__, array("I", x))) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(out, pa.binary())], names=[*keep, decoded])
 
-    return short_batches(rows).mapInArrow(run, f"{schema}, decoded binary").withColumn("text", F.try_validate_utf8(F.col("decoded").cast("string")))
+    made = short_batches(rows).mapInArrow(run, schema)
+    return made.withColumn(free_name("text", *keep, decoded), F.try_validate_utf8(F.col(decoded).cast("string")))
