@@ -30,6 +30,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), _sha(secrets.joined(of, secrets.KINDS[:3])).alias("base_sha256"), secrets.joined(of, secrets.KINDS).alias("spans"))
 
 
+def secret_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2_secrets that SQL can express: what the rules find."""
+    return op2_secrets(spark, sf_dir).drop("n_model", "spans")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"), simhash.EXACT).select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -66,10 +71,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    made = bpe.encode(_read(spark, sf_dir, "documents"), "text", path, pattern, ["doc_id"], with_offsets=False)
-    made = made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    back = bpe.decode(made, "ids", path, pattern, ["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe.encode(_read(spark, sf_dir, "documents"), "text", path, pattern, ["doc_id"])
+    made = made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("offsets", 256).alias("offsets_sha256"), "ids")
+    back = bpe.decode(made, "ids", path, pattern, ["doc_id", "n_tokens", "ids_sha256", "offsets_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "offsets_sha256")
 
 
 def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_secrets, op3_simhash, op4_mixing, op5_suffix, op6_language, op7_chat, op8_bpe, op9_pages, op10_vectors)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_secrets, op3_simhash, op4_mixing, op5_suffix, op6_language, op7_chat, op8_bpe, op9_pages, op10_vectors, secret_rules)}
 
 
 #: DuckDB's SQL for the queries that it can express; the others are tested against brute force.
@@ -92,6 +97,17 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(lis
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
 """,
+    "secret_rules": """
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT n, 0 AS i, 'assign' AS kind, regexp_extract_all(t, '%(assign)s') AS ms, string_split_regex(t, '%(assign)s') AS ps FROM d
+  UNION ALL SELECT n, 1, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT n, 2, 'hex', regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d),
+u AS (SELECT n, i, kind, unnest(ms) AS m, unnest(ps[1 : len(ms)]) AS before, unnest(range(len(ms))) AS k FROM f),
+p AS (SELECT n, i, kind, m, sum(length(before) + length(m)) OVER (PARTITION BY n, i ORDER BY k) AS z FROM u),
+x AS (SELECT n, i, kind, (z - length(m))::BIGINT AS a, z::BIGINT AS z FROM p WHERE CASE i WHEN 0 THEN length(regexp_extract(m, '%(assign)s', 2)) >= 6 WHEN 1 THEN length(m) >= 20 ELSE length(m) >= 24 END),
+g AS (SELECT n, count(*) FILTER (i = 0) AS n_assign, count(*) FILTER (i = 1) AS n_access, count(*) FILTER (i = 2) AS n_hex, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, i) AS spans FROM x GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (n)
+""" % {"assign": """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""},
     "op4_mixing": r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS place, coalesce('=' || source, 'null') AS source_key FROM documents),

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -75,13 +75,24 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def tables_for(scheme: Scheme, n: int) -> tuple[tuple[int, ...], ...]:
+    """Drawn tables for n fingerprints. Keys grow with their number, so that a bucket holds some hundreds at most on
+    average, and tables are added for what longer keys lose."""
+    key = max(KEY_BITS, round(math.log2(max(2, n))) - 9)
+    share = (1 - differing_share(scheme.least)) ** key
+    return _drawn(64 * scheme.width, key, math.ceil(math.log(1 - FOUND) / math.log(1 - share)))
+
+
 def _second(data: bytes, seed: int) -> bytes:
     return xxhash.xxh3_128_digest(data, seed + 1)
 
 
 EXACT = Scheme(3, (xxhash.xxh64_digest,), 3, _alike_blocks((13, 13, 13, 13, 12), 3))
-#: The radius is the mean of pairs at the threshold and four standard deviations more.
-SIMILAR = Scheme(5, (xxhash.xxh3_128_digest, _second), round(256 * differing_share(0.8) + 4 * math.sqrt(256 * differing_share(0.8) * (1 - differing_share(0.8)))), _drawn(256, 14, 80), 0.8)
+#: The radius is the mean of pairs at the threshold and four standard deviations more. The tables hang on the number of
+#: fingerprints, see tables_for().
+SIMILAR = Scheme(5, (xxhash.xxh3_128_digest, _second), round(256 * differing_share(0.8) + 4 * math.sqrt(256 * differing_share(0.8) * (1 - differing_share(0.8)))), (), 0.8)
+#: Probability that tables bring a pair at the threshold together, and the least bits of a key.
+FOUND, KEY_BITS = 0.998, 14
 #: Tables of SIMILAR that join what is nearly alike, before pairs are made of the rest.
 FIRST_TABLES = 8
 #: Pivots of SIMILAR: its radius is so wide that more of them discard no more pairs.
@@ -134,7 +145,8 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
-    """(doc_id, fp binary)."""
+    """(doc_id, fp binary) of every row, see near_groups(): null texts count as empty, rows that repeat stay, an empty table
+    gives an empty one, other columns are ignored."""
 
     def run(batches):
         for b in batches:
@@ -146,6 +158,8 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
 
 
 def _keys(scheme: Scheme):
+    """Rows (fp, ...) with their keys, one for each table; fingerprints are never null, and equal ones have equal keys."""
+
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 2000):
@@ -257,6 +271,7 @@ def _similar(docs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
     joined by as few pairs as connect it; then each other pair of all tables is compared, so a group of near copies
     doesn't make all its pairs."""
     nodes = stash(classes.where(F.col("rep").isNotNull()).select("fp", "rep", F.xxhash64("fp").alias("node")), "nodes")
+    scheme = replace(scheme, tables=tables_for(scheme, nodes.count()))
 
     def pairs(tables: int, forest_only: bool, of: DataFrame) -> DataFrame:
         rows = of.mapInArrow(_keys(scheme), "fp binary, rep long, part long, keys array<long>").select("fp", "rep", "part", F.explode(F.slice("keys", 1, tables)).alias("key"))
@@ -314,7 +329,8 @@ def hex_of(fp: Column) -> Column:
 
 def deduplicate(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """docs, of each group of near copies the document with the smallest doc_id; rows without doc_id stay, and rows that
-    repeat a kept doc_id stay with it."""
+    repeat a kept doc_id stay with it. Empty and null texts are copies of each other. An empty table gives an empty one,
+    and all columns stay as they are."""
     groups = near_groups(docs, scheme)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())

@@ -668,9 +668,11 @@ def test_chat_layouts_by_the_fields_of_elements(spark):
 
 
 def test_chat_round_trip(spark):
+    odd_roles = [(20, i, r, "x") for i, r in enumerate(["us\ner", "us:\ner", "\\", "a\\n\n", "### user", "</turn>", "\n", ":\n", ""])]
     nasty = ["\\### Assistant: </turn> ok", "\n</turn>\n### user:\nx", "", "\\", "\\\\#<", "a\n", "\n", "### assistant:\n", "é漢字\U0001f600 <b>#1</b>", "</turn>"]
     rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate((("user", "system", "assistant")[(i + c) % 3], s) for i, s in enumerate(nasty))]
     rows += [(9, None, None, None), (9, 1, "assistant", "same"), (9, 1, "assistant", "same"), (None, 0, "user", "no id"), (10, 0, "assistant", "x" * 300_000)]
+    rows += odd_roles
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat.format_chat(chat.canonical_turns(chat.conversations_to_records(df), "record"))
     got = {r.conv_id: r for r in made.select("conv_id", "formatted", "loss", chat.read_chat(F.col("formatted")).alias("back"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
@@ -709,6 +711,32 @@ def test_bpe_like_tiktoken(spark, small, reference):
     assert bpe.encode(docs.where("false"), "text", PATH, PATTERN, ["doc_id"]).count() == 0
 
 
+def test_bpe_offsets_by_brute_force(spark, reference):
+    """Each token's place follows from the bytes before it."""
+    made = bpe.encode(spark.createDataFrame([(t,) for t in TEXTS], "text string"), "text", PATH, PATTERN, ["text"])
+    for text, _, ids, offsets in made.collect():
+        starts = [0]
+        for c in text:
+            starts.append(starts[-1] + len(c.encode()))
+        char_of = np.repeat(np.arange(len(text)), np.diff(starts))
+        at, want = 0, []
+        for i in np.frombuffer(ids, "<u4").tolist():
+            n = len(reference.decode_single_token_bytes(i))
+            want.append([int(char_of[at]), int(char_of[at + n - 1]) + 1])
+            at += n
+        assert np.frombuffer(offsets, "<u4").reshape(-1, 2).tolist() == want
+
+
+def test_bpe_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some text", "mine", 3, 4, "x")], "doc_id long, text string, ids string, n_tokens int, offsets int, decoded string")
+    made = bpe.encode(docs, "text", PATH, PATTERN, docs.columns)
+    assert made.columns[-3:] == ["n_tokens_", "ids_", "offsets_"] and tuple(made.first())[:6] == tuple(docs.first())
+    back = bpe.decode(made, "ids_", PATH, PATTERN, docs.columns)
+    assert back.columns[-2:] == ["decoded_", "text_"] and back.first()[-1] == "some text" and tuple(back.first())[:6] == tuple(docs.first())
+    rows = spark.createDataFrame([(None,), (b"",)], "ids binary")
+    assert [tuple(r) for r in bpe.decode(rows, "ids", PATH, PATTERN, []).collect()] == [(None, None), (b"", "")]
+
+
 def test_bpe_splits_like_tiktoken_on_every_character(reference):
     words = bpe.Words(bpe.tokenizer_json(PATH), PATTERN, False)
     points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
@@ -849,9 +877,9 @@ def test_queries_match_sql(spark, small, name):
 
 def test_contract_columns(spark, small):
     want = {
-        "op1_nearest": "query_id:bigint rank:int vec_id:bigint score:double", "op2_secrets": "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint n_model:bigint base_sha256:string spans:string", "op3_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
-        "op4_mixing": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint", "op5_suffix": "doc_id:bigint n_bytes:bigint n_removed:bigint n_spans:bigint kept_sha256:string", "op6_language": "doc_id:bigint held_out:boolean lang_pred:string score:double coverage:double",
-        "op7_chat": "conv_id:bigint n_turns:bigint turns_sha256:string loss_chars:bigint loss_sha256:string formatted_chars:bigint", "op8_bpe": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string", "op9_pages": "page_id:bigint url:string text:string n_chars:bigint", "op10_vectors": "vec_id:bigint n_links:bigint component_id:bigint kept:boolean",
+        "op1_nearest": "query_id:bigint rank:int vec_id:bigint score:double", "op2_secrets": "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint n_model:bigint base_sha256:string spans:string", "secret_rules": "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint base_sha256:string", "op3_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
+        "op4_mixing": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint finish:double", "op5_suffix": "doc_id:bigint n_bytes:bigint n_removed:bigint n_spans:bigint kept_sha256:string", "op6_language": "doc_id:bigint held_out:boolean lang_pred:string score:double coverage:double",
+        "op7_chat": "conv_id:bigint n_turns:bigint turns_sha256:string loss_chars:bigint loss_sha256:string formatted_chars:bigint", "op8_bpe": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string offsets_sha256:string", "op9_pages": "page_id:bigint url:string text:string n_chars:bigint", "op10_vectors": "vec_id:bigint n_links:bigint component_id:bigint kept:boolean",
     }
     for name, f in queries.QUERIES.items():
         assert " ".join(f"{c}:{t}" for c, t in f(spark, small).dtypes) == want[name]
