@@ -66,12 +66,21 @@ def unstash(df: DataFrame) -> None:
 
 @contextlib.contextmanager
 def scratch():
-    """Deletes the tables that are written inside at its end: for steps whose result is then written elsewhere."""
-    first = len(_WRITTEN)
+    """Deletes the tables that are written inside at its end, but for those that the function it gives has been told to
+    keep: for steps whose result is written, too."""
+    first, keep = len(_WRITTEN), []
+
+    def kept(df: DataFrame) -> DataFrame:
+        keep.append((df.sparkSession, df._stash_path))
+        return df
+
     try:
-        yield
+        yield kept
     finally:
+        paths = {path for _, path in keep}
+        _WRITTEN[first:] = [x for x in _WRITTEN[first:] if x[1] not in paths]
         _sweep(first)
+        _WRITTEN.extend(keep)
 
 
 def free_name(name: str, *taken: str) -> str:

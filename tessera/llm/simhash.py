@@ -92,7 +92,7 @@ EXACT = Scheme(3, (xxhash.xxh64_digest,), 3, _alike_blocks((13, 13, 13, 13, 12),
 #: fingerprints, see tables_for().
 SIMILAR = Scheme(5, (xxhash.xxh3_128_digest, _second), round(256 * differing_share(0.8) + 4 * math.sqrt(256 * differing_share(0.8) * (1 - differing_share(0.8)))), (), 0.8)
 #: Probability that tables bring a pair at the threshold together, and the least bits of a key.
-FOUND, KEY_BITS = 0.998, 14
+FOUND, KEY_BITS = 0.999, 14
 #: Tables of SIMILAR that join what is nearly alike, before pairs are made of the rest.
 FIRST_TABLES = 8
 #: Pivots of SIMILAR: its radius is so wide that more of them discard no more pairs.
