@@ -185,7 +185,8 @@ def spread(rows: DataFrame, id_col: str, chunk: int) -> DataFrame:
     sides count where cross is set. No row or pair is dropped, and no task gathers a whole key.
     """
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).where(F.col("n_key") > chunk)
-    hot = hot.select("key", F.ceil(F.col("n_key") / chunk).cast("int").alias("chunks"))
+    # Written first: its size is then known, and where it's small the rows aren't shuffled for the join.
+    hot = stash(hot.select("key", F.ceil(F.col("n_key") / chunk).cast("int").alias("chunks")), "hot")
     dealt = rows.join(hot, "key", "left")
     c, mine = F.coalesce("chunks", F.lit(1)), F.pmod(F.xxhash64(F.lit("chunk"), F.col(id_col)), F.coalesce("chunks", F.lit(1))).cast("int")
     dealt = dealt.withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), c - 1)))

@@ -128,7 +128,7 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     alike = Window.partitionBy(*same, "pass").orderBy("upto")
     plan = items.withColumn("number", F.row_number().over(alike)).select(*same, "number", "taken", "end").alias("plan")
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), words_in(F.col("text")).alias("size"), key.alias("source_key"), place(F.col("doc_id"), F.col("text"), seed).alias("place"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), words_in(F.col("text")).alias("size"), key.alias("source_key"), place(F.col("doc_id"), F.col("text"), seed).alias("place"))
     rows = rows.where("size > 0").withColumn("number", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))).alias("rows")
     on = [F.col(f"rows.{c}").eqNullSafe(F.col(f"plan.{c}")) for c in (*same, "number")]
     out = rows.join(plan, on).select("rows.row", "rows.text", "rows.size", "plan.taken", "plan.end")

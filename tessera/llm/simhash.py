@@ -78,7 +78,7 @@ def differing_share(similarity: float) -> float:
 def tables_for(scheme: Scheme, n: int) -> tuple[tuple[int, ...], ...]:
     """Drawn tables for n fingerprints. Keys grow with their number, so that a bucket holds some hundreds at most on
     average, and tables are added for what longer keys lose."""
-    key = max(KEY_BITS, round(math.log2(max(2, n))) - 9)
+    key = max(KEY_BITS, round(math.log2(max(2, n))) - 8)
     share = (1 - differing_share(scheme.least)) ** key
     return _drawn(64 * scheme.width, key, math.ceil(math.log(1 - FOUND) / math.log(1 - share)))
 
@@ -92,7 +92,7 @@ EXACT = Scheme(3, (xxhash.xxh64_digest,), 3, _alike_blocks((13, 13, 13, 13, 12),
 #: fingerprints, see tables_for().
 SIMILAR = Scheme(5, (xxhash.xxh3_128_digest, _second), round(256 * differing_share(0.8) + 4 * math.sqrt(256 * differing_share(0.8) * (1 - differing_share(0.8)))), (), 0.8)
 #: Probability that tables bring a pair at the threshold together, and the least bits of a key.
-FOUND, KEY_BITS = 0.999, 14
+FOUND, KEY_BITS = 0.999, 10
 #: Tables of SIMILAR that join what is nearly alike, before pairs are made of the rest.
 FIRST_TABLES = 8
 #: Pivots of SIMILAR: its radius is so wide that more of them discard no more pairs.
@@ -157,15 +157,16 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
 
 
-def _keys(scheme: Scheme):
-    """Rows (fp, ...) with their keys, one for each table; fingerprints are never null, and equal ones have equal keys."""
+def _keys(scheme: Scheme, tables: int | None = None):
+    """Rows (fingerprint, ...) with their keys, one for each of the first tables; fingerprints are never null, and equal
+    ones have equal keys."""
 
     def run(batches):
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 part = b.slice(a, 2000)
-                bits = np.unpackbits(binary_matrix(part.column(0), np.uint8, scheme.bytes)[:, : 8 * scheme.width], axis=1).astype(np.int64)
-                keys = np.stack([(t << 32) + bits[:, chosen] @ (1 << np.arange(len(chosen))) for t, chosen in enumerate(scheme.tables)], axis=1)
+                bits = np.unpackbits(binary_matrix(part.column(0), np.uint8, 8 * scheme.width), axis=1).astype(np.int64)
+                keys = np.stack([(t << 32) + bits[:, chosen] @ (1 << np.arange(len(chosen))) for t, chosen in enumerate(scheme.tables[:tables])], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "keys"])
 
@@ -199,89 +200,91 @@ def _links(scheme: Scheme):
 
 
 def _pairs(scheme: Scheme, forest_only: bool):
-    """Pairs (fp_a, a, fp_b, b) within the radius that have not met yet (their `part` differs): with forest_only as many
-    as connect them, else each pair, in the first table that both share."""
+    """Pairs (a, b) of nodes within the radius that have not met yet (their `part` differs): with forest_only as many as
+    connect them, else each pair, in the first table that both share."""
     chosen = [np.array(t) for t in scheme.tables]
     pivots = np.random.default_rng(SEED).integers(0, 1 << 64, (FEW_PIVOTS, scheme.width), dtype=np.uint64)
 
     def run(batches):
         for t in sorted_runs(batches, 1 << 14):
             order, key, side, cross = (t[c].to_numpy() for c in ("run", "key", "side", "cross"))
-            raw = binary_matrix(t["fp"], np.uint8, scheme.bytes)
-            fp = np.ascontiguousarray(raw[:, : 8 * scheme.width]).view(">u8").astype(np.uint64)
+            raw = binary_matrix(t["bits"], np.uint8, 8 * scheme.width)
+            fp = raw.view(">u8").astype(np.uint64)
             away = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots])
-            part, rep, table = t["part"].to_numpy(), t["rep"].to_numpy(), t["key"].to_numpy() >> 32
+            part, node, table = t["part"].to_numpy(), t["node"].to_numpy(), t["key"].to_numpy() >> 32
             forest, out = Forest(len(fp)), []
             for a, b in pair_lags(order, key, side, cross):
                 for i in range(0, len(a), 1 << 15):
                     x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
-                    far = forest.apart(x, y) & (part[x] != part[y])
-                    x, y = x[far], y[far]
                     for row in away:
                         near = np.abs(row[x] - row[y]) <= scheme.radius
                         x, y = x[near], y[near]
                     near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= scheme.radius
                     x, y = x[near], y[near]
+                    far = forest.apart(x, y) & (part[x] != part[y])
+                    x, y = x[far], y[far]
                     if forest_only:
                         forest.join(x, y)
                     elif len(x):
-                        differ = np.unpackbits(raw[x, : 8 * scheme.width] ^ raw[y, : 8 * scheme.width], axis=1)
+                        differ = np.unpackbits(raw[x] ^ raw[y], axis=1)
                         first = np.full(len(x), len(chosen))
                         for k in range(len(chosen) - 1, -1, -1):
                             first[~differ[:, chosen[k]].any(axis=1)] = k
                         new = first == table[x]
                         out.append((x[new], y[new]))
             x, y = forest.edges() if forest_only else map(np.concatenate, zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
-            fps = t["fp"].combine_chunks()
-            for i in range(0, len(x), 10_000):
-                p, q = pa.array(x[i : i + 10_000]), pa.array(y[i : i + 10_000])
-                yield pa.RecordBatch.from_arrays([fps.take(p), pa.array(rep[p]), fps.take(q), pa.array(rep[q])], ["fp_a", "a", "fp_b", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
     return run
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Those of the pairs whose texts have the scheme's least similarity. Of rows that repeat an id, the one with the
-    fingerprint's digest counts."""
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Those of the pairs of nodes whose texts have the scheme's least similarity. Of rows that repeat an id, the one with
+    the node's digest counts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    one = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b")), "b").select("fp_a", "fp_b", "text_a", "text_b")
+    both = pairs
+    for side in ("a", "b"):
+        named = nodes.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("digest").alias(f"digest_{side}"))
+        both = both.join(named, side).join(texts.select(F.col("_id").alias(f"rep_{side}"), F.col("_text").alias(f"text_{side}")), f"rep_{side}")
+    both = both.select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part, known = b.slice(i, 200), {}
-                fp_a, fp_b, text_a, text_b = (part.column(c).to_pylist() for c in range(4))
+                digest_a, digest_b, text_a, text_b = (part.column(c).to_pylist() for c in range(2, 6))
                 keep = []
-                for k, (fx, fy, x, y) in enumerate(zip(fp_a, fp_b, text_a, text_b)):
+                for k, (p, q, x, y) in enumerate(zip(digest_a, digest_b, text_a, text_b)):
                     for t in (x, y):
                         if t not in known:
                             got = shingle_set(t, scheme.words)
                             known[t] = got, _digest(got)
                     (sx, dx), (sy, dy) = known[x], known[y]
-                    if fx[-16:] == dx and fy[-16:] == dy and jaccard(sx, sy) >= scheme.least:
+                    if p == dx and q == dy and jaccard(sx, sy) >= scheme.least:
                         keep.append(k)
-                yield part.select(["fp_a", "fp_b"]).take(pa.array(keep, pa.int64()))
+                yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return short_batches(both).mapInArrow(run, "fp_a binary, fp_b binary").distinct()
+    return short_batches(both).mapInArrow(run, "a long, b long").distinct()
 
 
 def _similar(docs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
     """(fp, component_id) of the classes, which link if their shingles are alike. First what few tables bring together is
     joined by as few pairs as connect it; then each other pair of all tables is compared, so a group of near copies
     doesn't make all its pairs."""
-    nodes = stash(classes.where(F.col("rep").isNotNull()).select("fp", "rep", F.xxhash64("fp").alias("node")), "nodes")
+    bits = 8 * scheme.width
+    nodes = stash(classes.where(F.col("rep").isNotNull()).select("fp", "rep", F.xxhash64("fp").alias("node"), F.substring("fp", bits + 1, 16).alias("digest")), "nodes")
     scheme = replace(scheme, tables=tables_for(scheme, nodes.count()))
 
     def pairs(tables: int, forest_only: bool, of: DataFrame) -> DataFrame:
-        rows = of.mapInArrow(_keys(scheme), "fp binary, rep long, part long, keys array<long>").select("fp", "rep", "part", F.explode(F.slice("keys", 1, tables)).alias("key"))
-        rows = spread(rows, "fp", CHUNK).select("run", "key", "side", "cross", "fp", "rep", "part").repartition("run").sortWithinPartitions("run", "key")
-        found = stash(rows.mapInArrow(_pairs(scheme, forest_only), "fp_a binary, a long, fp_b binary, b long").distinct(), "pairs")
-        return _alike(docs, found, scheme).select(F.xxhash64("fp_a").alias("a"), F.xxhash64("fp_b").alias("b"))
+        rows = of.mapInArrow(_keys(scheme, tables), "bits binary, node long, part long, keys array<long>").select("bits", "node", "part", F.explode("keys").alias("key"))
+        rows = spread(rows, "node", CHUNK).select("run", "key", "side", "cross", "bits", "node", "part").repartition("run").sortWithinPartitions("run", "key")
+        found = stash(rows.mapInArrow(_pairs(scheme, forest_only), "a long, b long").distinct(), "pairs")
+        return _alike(docs, nodes, found, scheme)
 
-    first = stash(pairs(FIRST_TABLES, True, nodes.select("fp", "rep", F.col("node").alias("part"))), "first")
+    own = nodes.select(F.substring("fp", 1, bits).alias("bits"), "node")
+    first = stash(pairs(FIRST_TABLES, True, own.withColumn("part", F.col("node"))), "first")
     met = components(first, "a", "b").select(F.col("node").alias("_node"), "component")
-    named = nodes.join(met, nodes["node"] == met["_node"], "left").select("fp", "rep", F.coalesce("component", "node").alias("part"))
+    named = own.join(met, own["node"] == met["_node"], "left").select("bits", "node", F.coalesce("component", "node").alias("part"))
     rest = stash(pairs(len(scheme.tables), False, stash(named, "met")), "rest")
     found = components(first.unionByName(rest), "a", "b").select(F.col("node").alias("_node"), "component")
     named = nodes.join(found, nodes["node"] == found["_node"], "left").withColumn("component", F.coalesce("component", "node"))
