@@ -5,15 +5,14 @@ table's bucket, precomputed Hamming distances to many reference fingerprints dis
 difference, and only survivors are compared bit by bit.
 
 Two schemes are in use. EXACT: 64 bits of 3-word shingles, at most three differing bits; some two of five blocks of bits
-are then alike, so ten tables find every pair. SIMILAR: 256 bits of the set of 5-word shingles bring pairs that may have a
+are then alike, so ten tables find every pair. SIMILAR: 512 bits of the set of 5-word shingles bring pairs that may have a
 Jaccard similarity of 0.8 together; its radius and tables of drawn bits retrieve a pair at the threshold with a joint
-probability of 0.996, a nearer one sooner. Only pairs whose shingles, counted in the texts, have that similarity link.
+probability of 0.993, a nearer one sooner. Only pairs whose shingles, counted in the texts, have that similarity link.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import accumulate, combinations
 
@@ -32,26 +31,22 @@ PIVOTS = 24
 CHUNK = 1024
 #: A fingerprint of more than one in HOT rows is dealt to SALTS tasks where rows get their class.
 HOT, SALTS = 256, 256
-_SHINGLES_AT_ONCE = 1 << 14
+_SHINGLES_AT_ONCE, _AT_ONCE = 1 << 14, 1 << 12
 
 
 @dataclass(frozen=True)
 class Scheme:
-    """Words of a shingle, the hashes whose bits a fingerprint has, the most differing bits of a link, the bits that each
-    table's key consists of, and the least Jaccard similarity of a link. With the latter, shingles count once, and a
-    digest of their set stands behind a fingerprint's bits, so that a class has one set."""
+    """Words of a shingle, 64-bit words of a fingerprint, the most differing bits of a link, the bits that each table's
+    key consists of, and the least Jaccard similarity of a link. With the latter, shingles count once, their hashes are
+    expanded to as many words, and a digest of their set stands behind a fingerprint's bits, so that a class has one
+    set."""
 
     words: int
-    hashes: tuple[Callable[[bytes, int], bytes], ...]
+    width: int
     radius: int
     tables: tuple[tuple[int, ...], ...] = field(repr=False)
     least: float = 0.0
 
-    @property
-    def width(self) -> int:
-        """64-bit words of a fingerprint."""
-        return sum(len(h(b"", SEED)) for h in self.hashes) // 8
-
     @property
     def bytes(self) -> int:
         """Of a fingerprint, and of the digest behind it."""
@@ -83,14 +78,11 @@ def tables_for(scheme: Scheme, n: int) -> tuple[tuple[int, ...], ...]:
     return _drawn(64 * scheme.width, key, math.ceil(math.log(1 - FOUND) / math.log(1 - share)))
 
 
-def _second(data: bytes, seed: int) -> bytes:
-    return xxhash.xxh3_128_digest(data, seed + 1)
-
-
-EXACT = Scheme(3, (xxhash.xxh64_digest,), 3, _alike_blocks((13, 13, 13, 13, 12), 3))
-#: The radius is the mean of pairs at the threshold and four standard deviations more. The tables hang on the number of
-#: fingerprints, see tables_for().
-SIMILAR = Scheme(5, (xxhash.xxh3_128_digest, _second), round(256 * differing_share(0.8) + 4 * math.sqrt(256 * differing_share(0.8) * (1 - differing_share(0.8)))), (), 0.8)
+EXACT = Scheme(3, 1, 3, _alike_blocks((13, 13, 13, 13, 12), 3))
+_WIDTH, _SHARE = 8, differing_share(0.8)
+#: The radius is the mean of pairs at the threshold and 2.5 standard deviations more: a wider one would let pass what only
+#: shares a passage. The tables hang on the number of fingerprints, see tables_for().
+SIMILAR = Scheme(5, _WIDTH, round(64 * _WIDTH * _SHARE + 2.5 * math.sqrt(64 * _WIDTH * _SHARE * (1 - _SHARE))), (), 0.8)
 #: Probability that tables bring a pair at the threshold together, and the least bits of a key.
 FOUND, KEY_BITS = 0.999, 10
 #: Tables of SIMILAR that join what is nearly alike, before pairs are made of the rest.
@@ -126,18 +118,25 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint(text: str | None, scheme: Scheme = EXACT) -> bytes:
     """The fingerprint of a text, see near_groups(); most significant bit first."""
-    ones, n, seen = np.zeros(64 * scheme.width, np.int64), 0, set()
-    for shingles in _shingles(text, scheme.words):
-        if scheme.least:
-            shingles = list(set(shingles) - seen)
-            seen.update(shingles)
-        if not shingles:
-            continue
-        n += len(shingles)
-        columns = [np.frombuffer(b"".join([h(x, SEED) for x in shingles]), np.uint8).reshape(len(shingles), -1) for h in scheme.hashes]
-        ones += np.unpackbits(np.concatenate(columns, axis=1), axis=1).sum(axis=0, dtype=np.int32)
+    ones, n = np.zeros(64 * scheme.width, np.int64), 0
+    if scheme.least:
+        found = shingle_set(text, scheme.words)
+        step = np.arange(1, scheme.width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        parts = (_mixed(found[a : a + _AT_ONCE, None] + step) for a in range(0, len(found), _AT_ONCE))
+    else:
+        parts = (np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in some]), ">u8").reshape(-1, 1) for some in _shingles(text, scheme.words))
+    for part in parts:
+        n += len(part)
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int32)
     bits = np.packbits(ones * 2 > n).tobytes()
-    return bits + _digest(shingle_set(text, scheme.words)) if scheme.least else bits
+    return bits + _digest(found) if scheme.least else bits
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Each 64-bit value's bits mixed, as independent ones."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def _digest(shingles: np.ndarray) -> bytes:
