@@ -110,12 +110,6 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; 1 for two empty ones."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def fingerprint(text: str | None, scheme: Scheme = EXACT) -> bytes:
     """The fingerprint of a text, see near_groups(); most significant bit first."""
     ones, n = np.zeros(64 * scheme.width, np.int64), 0
@@ -198,93 +192,132 @@ def _links(scheme: Scheme):
     return run
 
 
-def _pairs(scheme: Scheme, forest_only: bool):
-    """Pairs (a, b) of nodes within the radius that have not met yet (their `part` differs): with forest_only as many as
-    connect them, else each pair, in the first table that both share."""
-    chosen = [np.array(t) for t in scheme.tables]
-    pivots = np.random.default_rng(SEED).integers(0, 1 << 64, (FEW_PIVOTS, scheme.width), dtype=np.uint64)
+_MEMBERS = "run long, key long, side int, cross boolean, node long, bits binary, part long"
+
+
+def _near(t: pa.Table, scheme: Scheme, pivots: np.ndarray):
+    """(x, y, differing bits) of the pairs of a run's rows that lie within the radius and have not met yet (their `part`
+    differs), in the first table that both share."""
+    chosen = [np.array(c) for c in scheme.tables]
+    raw = binary_matrix(t["bits"], np.uint8, 8 * scheme.width)
+    fp = raw.view(">u8").astype(np.uint64)
+    away = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots])
+    part, table = t["part"].to_numpy(), t["key"].to_numpy() >> 32
+    for a, b in pair_lags(*(t[c].to_numpy() for c in ("run", "key", "side", "cross"))):
+        for i in range(0, len(a), 1 << 15):
+            x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+            new = part[x] != part[y]
+            x, y = x[new], y[new]
+            for row in away:
+                near = np.abs(row[x] - row[y]) <= scheme.radius
+                x, y = x[near], y[near]
+            bits = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1)
+            near = bits <= scheme.radius
+            x, y, bits = x[near], y[near], bits[near]
+            if not len(x):
+                continue
+            differ = np.unpackbits(raw[x] ^ raw[y], axis=1)
+            earlier = np.zeros(len(x), bool)
+            for k in range(int(table[x].max())):
+                earlier |= (k < table[x]) & ~differ[:, chosen[k]].any(axis=1)
+            yield x[~earlier], y[~earlier], bits[~earlier]
+
+
+def _pivots(scheme: Scheme) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (FEW_PIVOTS, scheme.width), dtype=np.uint64)
+
+
+def _members(scheme: Scheme):
+    """The rows that have a pair in their run."""
 
     def run(batches):
         for t in sorted_runs(batches, 1 << 14):
-            order, key, side, cross = (t[c].to_numpy() for c in ("run", "key", "side", "cross"))
-            raw = binary_matrix(t["bits"], np.uint8, 8 * scheme.width)
-            fp = raw.view(">u8").astype(np.uint64)
-            away = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots])
-            part, node, table = t["part"].to_numpy(), t["node"].to_numpy(), t["key"].to_numpy() >> 32
-            forest, out = Forest(len(fp)), []
-            for a, b in pair_lags(order, key, side, cross):
-                for i in range(0, len(a), 1 << 15):
-                    x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
-                    for row in away:
-                        near = np.abs(row[x] - row[y]) <= scheme.radius
-                        x, y = x[near], y[near]
-                    near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= scheme.radius
-                    x, y = x[near], y[near]
-                    far = forest.apart(x, y) & (part[x] != part[y])
-                    x, y = x[far], y[far]
-                    if forest_only:
-                        forest.join(x, y)
-                    elif len(x):
-                        differ = np.unpackbits(raw[x] ^ raw[y], axis=1)
-                        first = np.full(len(x), len(chosen))
-                        for k in range(len(chosen) - 1, -1, -1):
-                            first[~differ[:, chosen[k]].any(axis=1)] = k
-                        new = first == table[x]
-                        out.append((x[new], y[new]))
-            x, y = forest.edges() if forest_only else map(np.concatenate, zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int))
-            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
+            some = np.zeros(t.num_rows, bool)
+            for x, y, _ in _near(t, scheme, _pivots(scheme)):
+                some[x] = some[y] = True
+            yield from t.filter(pa.array(some)).combine_chunks().to_batches()
 
     return run
 
 
-def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Those of the pairs of nodes whose texts have the scheme's least similarity. Of rows that repeat an id, the one with
+def _sets(scheme: Scheme):
+    """Rows (..., digest, text) of members with the text's set of shingles instead. Of rows that repeat an id, the one with
     the node's digest counts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    both = pairs
-    for side in ("a", "b"):
-        named = nodes.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("digest").alias(f"digest_{side}"))
-        both = both.join(named, side).join(texts.select(F.col("_id").alias(f"rep_{side}"), F.col("_text").alias(f"text_{side}")), f"rep_{side}")
-    both = both.select("a", "b", "digest_a", "digest_b", "text_a", "text_b")
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 200):
-                part, known = b.slice(i, 200), {}
-                digest_a, digest_b, text_a, text_b = (part.column(c).to_pylist() for c in range(2, 6))
-                keep = []
-                for k, (p, q, x, y) in enumerate(zip(digest_a, digest_b, text_a, text_b)):
-                    for t in (x, y):
-                        if t not in known:
-                            got = shingle_set(t, scheme.words)
-                            known[t] = got, _digest(got)
-                    (sx, dx), (sy, dy) = known[x], known[y]
-                    if p == dx and q == dy and jaccard(sx, sy) >= scheme.least:
-                        keep.append(k)
-                yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return short_batches(both).mapInArrow(run, "a long, b long").distinct()
+                part = b.slice(i, 200)
+                found = [shingle_set(x, scheme.words) for x in part.column(part.num_columns - 1).to_pylist()]
+                keep = [k for k, (x, d) in enumerate(zip(found, part.column(part.num_columns - 2).to_pylist())) if _digest(x) == d]
+                own = part.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns[:-2], pa.array([found[k].tobytes() for k in keep], pa.binary())], [*own.schema.names[:-2], "shingles"])
+
+    return run
+
+
+def _verified(scheme: Scheme):
+    """Edges (a, b) between nodes whose shingles have the least similarity, as many as connect them: the nearest pairs of
+    a run come first, and what is connected isn't compared again. No pair leaves the run unless it is an edge."""
+
+    def run(batches):
+        for t in sorted_runs(batches, 1 << 11):
+            held, sets, root = t["shingles"], {}, list(range(t.num_rows))
+
+            def of(i):
+                if i not in sets:
+                    sets[i] = set(np.frombuffer(held[i].as_py(), np.uint64).tolist())
+                return sets[i]
+
+            def top(i):
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            found = list(_near(t, scheme, _pivots(scheme)))
+            x, y, bits = map(np.concatenate, zip(*found)) if found else (np.zeros(0, int),) * 3
+            order, edges = np.argsort(bits, kind="stable"), []
+            for i, j in zip(x[order].tolist(), y[order].tolist()):
+                if (p := top(i)) == (q := top(j)):
+                    continue
+                m, n = of(i), of(j)
+                if min(len(m), len(n)) < scheme.least * max(len(m), len(n)):
+                    continue
+                both = len(m & n)
+                if both >= scheme.least * (len(m) + len(n) - both):
+                    root[max(p, q)] = min(p, q)
+                    edges.append((i, j))
+            node = t["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(node[[e[0] for e in edges]] if edges else [], pa.int64()), pa.array(node[[e[1] for e in edges]] if edges else [], pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _similar(docs: DataFrame, classes: DataFrame, scheme: Scheme) -> DataFrame:
     """(fp, component_id) of the classes, which link if their shingles are alike. First what few tables bring together is
-    joined by as few pairs as connect it; then each other pair of all tables is compared, so a group of near copies
-    doesn't make all its pairs."""
+    joined; then what all tables do, but for pairs that have met. Rows of a bucket that may have a link travel once more,
+    with their shingles, and are compared in one task; pairs never travel, so a large group makes no more rows than it
+    has members in each table."""
     bits = 8 * scheme.width
     nodes = stash(classes.where(F.col("rep").isNotNull()).select("fp", "rep", F.xxhash64("fp").alias("node"), F.substring("fp", bits + 1, 16).alias("digest")), "nodes")
     scheme = replace(scheme, tables=tables_for(scheme, nodes.count()))
 
-    def pairs(tables: int, forest_only: bool, of: DataFrame) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+
+    def links(tables: int, of: DataFrame) -> DataFrame:
         rows = of.mapInArrow(_keys(scheme, tables), "bits binary, node long, part long, keys array<long>").select("bits", "node", "part", F.explode("keys").alias("key"))
-        rows = spread(rows, "node", CHUNK).select("run", "key", "side", "cross", "bits", "node", "part").repartition("run").sortWithinPartitions("run", "key")
-        found = stash(rows.mapInArrow(_pairs(scheme, forest_only), "a long, b long").distinct(), "pairs")
-        return _alike(docs, nodes, found, scheme)
+        rows = spread(rows, "node", CHUNK).select("run", "key", "side", "cross", "node", "bits", "part").repartition("run").sortWithinPartitions("run", "key")
+        found = stash(rows.mapInArrow(_members(scheme), _MEMBERS), "members").join(nodes.select("node", "rep", "digest"), "node")
+        found = found.join(texts, F.col("rep") == F.col("_id")).select("run", "key", "side", "cross", "node", "bits", "part", "digest", "_text")
+        sets = short_batches(found).mapInArrow(_sets(scheme), f"{_MEMBERS}, shingles binary").dropDuplicates(["run", "key", "side", "node"])
+        return sets.repartition("run").sortWithinPartitions("run", "key").mapInArrow(_verified(scheme), "a long, b long").distinct()
 
     own = nodes.select(F.substring("fp", 1, bits).alias("bits"), "node")
-    first = stash(pairs(FIRST_TABLES, True, own.withColumn("part", F.col("node"))), "first")
+    first = stash(links(FIRST_TABLES, own.withColumn("part", F.col("node"))), "first")
     met = components(first, "a", "b").select(F.col("node").alias("_node"), "component")
     named = own.join(met, own["node"] == met["_node"], "left").select("bits", "node", F.coalesce("component", "node").alias("part"))
-    rest = stash(pairs(len(scheme.tables), False, stash(named, "met")), "rest")
+    rest = stash(links(len(scheme.tables), stash(named, "met")), "rest")
     found = components(first.unionByName(rest), "a", "b").select(F.col("node").alias("_node"), "component")
     named = nodes.join(found, nodes["node"] == found["_node"], "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
