@@ -123,14 +123,16 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     empty table gives an empty one. All columns of docs stay as they are, but for the text that the cut falls in.
     """
     _, items = _items(docs, seed, WEIGHTS, BUDGET)
-    same = ["doc_id", "size", "source_key", "place"]
+    # Ids are never null here, since places tell rows without one apart: one shuffle of the texts does for numbers and join.
+    same = ["id", "size", "source_key", "place"]
+    never_null = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id")
     # Equal rows are told apart by number, each in all its passes.
     alike = Window.partitionBy(*same, "pass").orderBy("upto")
-    plan = items.withColumn("number", F.row_number().over(alike)).select(*same, "number", "taken", "end").alias("plan")
+    plan = items.select("*", never_null).withColumn("number", F.row_number().over(alike)).select(*same, "number", "taken", "end").alias("plan")
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), words_in(F.col("text")).alias("size"), key.alias("source_key"), place(F.col("doc_id"), F.col("text"), seed).alias("place"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("text").alias("text"), never_null, words_in(F.col("text")).alias("size"), key.alias("source_key"), place(F.col("doc_id"), F.col("text"), seed).alias("place"))
     rows = rows.where("size > 0").withColumn("number", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))).alias("rows")
-    on = [F.col(f"rows.{c}").eqNullSafe(F.col(f"plan.{c}")) for c in (*same, "number")]
+    on = [*(F.col(f"rows.{c}") == F.col(f"plan.{c}") for c in same), F.col("rows.number") - F.col("plan.number") == 0]
     out = rows.join(plan, on).select("rows.row", "rows.text", "rows.size", "plan.taken", "plan.end")
     # The words up to a document say where it belongs: equal shares of the mix, in order, without a sample.
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
