@@ -1,7 +1,9 @@
 """Python expressions over column names, as Spark columns.
 
 An expression is parsed, never run: an allow-list of syntax and functions is translated, everything else is an error.
-Arithmetic keeps Python's meaning: / is true division, // and % round and sign as Python's do.
+Arithmetic keeps Python's meaning: / is true division, // and % round and sign as Python's do, and + joins texts. Where
+the meaning hangs on types, they are those of the DataFrame that the expression is for; without one, + of two columns is a
+sum and // goes through a double.
 """
 
 from __future__ import annotations
@@ -9,16 +11,43 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The DataFrame that the expression being translated is for.
+_FOR: ContextVar[DataFrame | None] = ContextVar("for", default=None)
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
 
 class ExpressionError(ValueError):
     """The expression has something that isn't translated."""
 
 
+def _kinds(*columns: Column) -> list[str] | None:
+    """The types of columns over the DataFrame at hand; only the analyzer runs."""
+    df = _FOR.get()
+    return None if df is None else [k for _, k in df.select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).dtypes]
+
+
 def _floor_mod(a: Column, b: Column) -> Column:
-    return a - F.floor(a / b) * b
+    rest = a % b
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+
+
+def _floor_div(a: Column, b: Column) -> Column:
+    kinds = _kinds(a, b)
+    if kinds is None or any(k not in _WHOLE for k in kinds):
+        return F.floor(a / b)
+    rest = a % b
+    down = (rest != 0) & ((rest < 0) != (b < 0))
+    return F.call_function("div", a, b) - F.when(down, F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+
+def _add(a: Column, b: Column) -> Column:
+    return F.concat(a, b) if (_kinds(a, b) or [""])[0] == "string" else a + b
 
 
 def _bits(name: str) -> Callable[[Column, Column], Column]:
@@ -26,12 +55,12 @@ def _bits(name: str) -> Callable[[Column, Column], Column]:
 
 
 _BINARY = {
-    ast.Add: lambda a, b: a + b,
+    ast.Add: _add,
     ast.Sub: lambda a, b: a - b,
     ast.Mult: lambda a, b: a * b,
     ast.Div: lambda a, b: a / b,
     ast.Mod: _floor_mod,
-    ast.FloorDiv: lambda a, b: F.floor(a / b),
+    ast.FloorDiv: _floor_div,
     ast.Pow: lambda a, b: F.pow(a, b),
     ast.BitAnd: _bits("bitwiseAND"),
     ast.BitOr: _bits("bitwiseOR"),
@@ -174,9 +203,21 @@ def _subscript(node: ast.Subscript) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def column(expr: str | Column) -> Column:
-    """The column that a Python expression describes."""
-    return expr if isinstance(expr, Column) else to_column(parse(expr))
+def column(expr: str | Column, df: DataFrame | None = None) -> Column:
+    """The column that a Python expression describes, over df."""
+    if isinstance(expr, Column):
+        return expr
+    with _over(df):
+        return to_column(parse(expr))
+
+
+@contextmanager
+def _over(df: DataFrame | None):
+    token = _FOR.set(df)
+    try:
+        yield
+    finally:
+        _FOR.reset(token)
 
 
 def attributes(expr: str) -> set[str]:

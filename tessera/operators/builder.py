@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.aggregates import Aggregate, Fold
@@ -18,8 +18,8 @@ if TYPE_CHECKING:
 
 #: Join methods and the hint that asks Spark for the nearest physical join; None leaves the choice to the optimizer.
 METHODS = {"auto": None, "nested-loops": "shuffle_replicate_nl", "block-nested-loops": "broadcast", "indexed": None, "hash": "shuffle_hash", "merge": "merge"}
-#: Rows of a side that may be broadcast by a block-nested-loops join; beyond that the optimizer chooses.
-BLOCK_ROWS = 1_000_000
+#: Estimated bytes of a side that may be broadcast by a block-nested-loops join; beyond that the optimizer chooses.
+BLOCK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,17 @@ class Node:
         return [f"{'  ' * depth}{self.kind}[{self.detail}]", *(x for n in self.inputs for x in n.lines(depth + 1))]
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a result's size; nothing runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def drawn(seed: int, by: list[str], share: float) -> Column:
+    """Whether the MD5 of the seed and the columns lies in the first `share` of its range."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in by))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
+
+
 class Query:
     def __init__(self, df: DataFrame, node: Node, db: Database | None = None):
         self.df, self.node, self.db = df, node, db
@@ -52,7 +63,7 @@ class Query:
 
     def where(self, expr) -> Query:
         """Rows for which a predicate is true."""
-        return self._next(self.df.where(column(expr)), "Select", str(expr))
+        return self._next(self.df.where(column(expr, self.df)), "Select", str(expr))
 
     def select(self, outputs: Mapping[str, tuple | str] | None = None, **more) -> Query:
         """Computed columns: name to an expression, or to (expression, type)."""
@@ -60,7 +71,7 @@ class Query:
         made = []
         for name, spec in outputs.items():
             expr, kind = spec if isinstance(spec, tuple) else (spec, None)
-            made.append((field_type(kind).fit(column(expr)) if kind is not None else column(expr)).alias(name))
+            made.append((field_type(kind).fit(column(expr, self.df)) if kind is not None else column(expr, self.df)).alias(name))
         return self._next(self.df.select(*made), "Project", ", ".join(outputs))
 
     def rename(self, names: Mapping[str, str]) -> Query:
@@ -82,7 +93,7 @@ class Query:
         for part in [*(F.col(a) == F.col(b) for a, b in keys), *([] if expr is None else [column(expr)])]:
             condition = part if condition is None else condition & part
         right, hint = other.df, METHODS[method]
-        if hint == "broadcast" and right.limit(BLOCK_ROWS + 1).count() > BLOCK_ROWS:
+        if hint == "broadcast" and estimated_bytes(right) > BLOCK_BYTES:
             hint = None
         right = right.hint(hint) if hint else right
         joined = self.df.crossJoin(right) if condition is None else self.df.join(right, condition, how)
@@ -98,7 +109,7 @@ class Query:
         """One row for each value of the keys, which may be expressions. Constant keys give one row, or none if there is
         no input."""
         keys = {k: k for k in keys} if isinstance(keys, list) else dict(keys)
-        df = self.df.withColumns({f"_key_{k}": column(e) for k, e in keys.items()})
+        df = self.df.withColumns({f"_key_{k}": column(e, self.df) for k, e in keys.items()})
         grouped = df.groupBy(*(F.col(f"_key_{k}").alias(k) for k in keys)).agg(*(a.column().alias(n) for n, a in aggregates.items()))
         return self._next(grouped, "GroupBy", ", ".join(keys))
 
@@ -122,9 +133,16 @@ class Query:
         rank = F.rank().over(Window.partitionBy(*(by or [])).orderBy(F.desc(key)))
         return self._next(self.df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank"), "TopRanks", f"{n} by {key}")
 
-    def sample(self, factor: float, seed: int = 12345) -> Query:
-        """About one of `factor` rows."""
-        return self._next(self.df.sample(1.0 / factor, seed=seed), "Sample", str(factor))
+    def sample(self, factor: float, seed: int = 12345, by: list[str] | None = None) -> Query:
+        """About one of `factor` rows: drawn by the generator, or by a hash of the columns `by`, the same in every run."""
+        if by is None:
+            return self._next(self.df.sample(1.0 / factor, seed=seed), "Sample", str(factor))
+        return self._next(self.df.where(drawn(seed, by, 1.0 / factor)), "Sample", str(factor))
+
+    def map_batches(self, function: Callable[[Iterator], Iterator], schema: str) -> Query:
+        """Rows through a Python function over iterators of Arrow batches: for what no expression says. The optimizer
+        sees nothing of it."""
+        return self._next(self.df.mapInArrow(function, schema), "MapBatches", schema)
 
     # ---- introspection and execution
 
@@ -148,6 +166,17 @@ class Query:
         """The number of rows, or an estimate of it: rows of a sample times its factor."""
         return self.df.sample(1.0 / factor, seed=seed).count() * factor if estimate else self.df.count()
 
+    def cost(self) -> dict[str, float]:
+        """The optimizer's estimates, without running anything: bytes of the result, and rows where statistics tell."""
+        stats = self.df._jdf.queryExecution().optimizedPlan().stats()
+        rows = stats.rowCount()
+        return {"bytes": float(stats.sizeInBytes())} | ({"rows": float(rows.get())} if rows.isDefined() else {})
+
+    def selectivity(self, expr, factor: float = 10.0, seed: int = 12345) -> float:
+        """The share of rows for which a predicate is true, on a sample; 0 for no rows."""
+        hit = self.df.sample(1.0 / factor, seed=seed).select(F.avg(F.coalesce(column(expr, self.df), F.lit(False)).cast("int"))).first()[0]
+        return float(hit or 0)
+
     def finalize(self) -> DataFrame:
         return self.df
 

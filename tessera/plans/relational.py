@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.aggregates import Fold, count, greatest, least, mean, total
-from tessera.functions.expressions import column
 from tessera.operators.builder import Query
-from tessera.sources.tables import read_parquet
+from tessera.schema import Schema
+from tessera.sources.catalog import Database
+from tessera.sources.layout import Materialized, analyze
+from tessera.sources.tables import load, read_parquet, read_random, read_text, write_text
 from tessera.types import date_number, date_of_number
 
 QUERIES: dict = {}
@@ -289,19 +293,27 @@ def union_filtered(spark, sf_dir):
     return c.union(table(spark, sf_dir, "supplier").select({"name": "s_name", "bal": "s_acctbal"})).where("bal < 0").select({"name": "name"}).finalize()
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE ('0x' || substr(md5('12345:' || l_orderkey || ':' || l_linenumber), 1, 8))::BIGINT < 429496729")
 def sampled_scan(spark, sf_dir):
-    """About a tenth of the rows; which ones is the generator's choice, so there is no SQL for it."""
-    return table(spark, sf_dir, "lineitem").select({"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"}).sample(10).finalize()
+    """About a tenth of the rows, drawn by a hash of the key."""
+    return table(spark, sf_dir, "lineitem").select({"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber"}).sample(10, by=["l_orderkey", "l_linenumber"]).finalize()
+
+
+def _database(spark: SparkSession) -> Database:
+    """A database of its own for each call: what these queries store is gone when they are done, or with the session."""
+    return Database(spark, f"tessera_{uuid.uuid4().hex[:8]}")
+
+
+_PART = Schema.of("part", [("p_partkey", "double"), ("p_name", "char(55)"), ("p_size", "int")])
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1996")
 def view_and_rest(spark, sf_dir):
-    """A stored part of the answer and the rest of the base: what a materialized view that covers a part gives."""
-    orders = read_parquet(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    stored, rest = orders.where("o_orderdate < date '1996-07-01'"), orders.where("o_orderdate >= date '1996-07-01'")
-    both = stored.where("o_orderdate >= date '1996-01-01'").unionByName(rest.where("o_orderdate < date '1997-01-01'"))
-    return both.select("o_orderkey", "o_totalprice")
+    """A materialized view that covers a part of the question, and the base for the rest."""
+    orders, views = read_parquet(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), Materialized(_database(spark))
+    views.create("early", orders.where("o_orderdate < date '1996-07-01'"))
+    rest = orders.where("o_orderdate >= date '1996-07-01' and o_orderdate < date '1997-01-01'")
+    return views.covering("early", "o_orderdate >= date '1996-01-01'", rest).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT s_suppkey, rank() OVER (ORDER BY s_acctbal DESC)::INTEGER AS place FROM supplier")
@@ -310,15 +322,76 @@ def rank_all(spark, sf_dir):
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)")
-def random_reads(spark, sf_dir):
+def semi_join_of_keys(spark, sf_dir):
     """Rows of a set of keys by a semi join."""
     keys = table(spark, sf_dir, "customer").where("c_custkey % 5 == 0").select({"c_custkey": "c_custkey"})
     return table(spark, sf_dir, "orders").join(keys, on=[("o_custkey", "c_custkey")], how="left_semi").select({"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"}).finalize()
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 0 ELSE p_size END::INTEGER AS p_size FROM part WHERE p_size <> 25")
-def update_and_delete(spark, sf_dir):
-    """A rewrite that deletes some rows and clears a field of others."""
-    return read_parquet(spark, sf_dir, "part").where(~column("p_size == 25")).select("p_partkey", F.when(column("p_size < 10"), F.lit(0)).otherwise(F.col("p_size")).alias("p_size"))
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE ('0x' || substr(md5('12345:' || o_custkey), 1, 8))::BIGINT < 858993459")
+def random_reads(spark, sf_dir):
+    """The random workload over a stored relation: the rows of a fifth of the customers."""
+    db = _database(spark)
+    read_parquet(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").write.saveAsTable(f"{db.name}.orders")
+    return read_random(db, "orders", "o_custkey", 0.2)
+
+
+def _stored_parts(spark, sf_dir) -> Database:
+    db = _database(spark)
+    load(db, _PART, read_parquet(spark, sf_dir, "part").select(F.col("p_partkey").cast("double").alias("p_partkey"), "p_name", "p_size"))
+    return db
 
 
+@query("SELECT p_partkey::DOUBLE AS p_partkey, p_name, p_size FROM part")
+def loaded_relation(spark, sf_dir):
+    """Bulk import into a declared relation, and its scan."""
+    return _stored_parts(spark, sf_dir).table("part")
+
+
+@query("SELECT p_partkey::DOUBLE AS p_partkey, p_name, CASE WHEN p_size < 10 THEN 0 ELSE p_size END::INTEGER AS p_size FROM part WHERE p_size <> 25")
+def update_and_delete(spark, sf_dir):
+    """Rows deleted by a key, and a field of others updated, in a stored relation."""
+    db = _stored_parts(spark, sf_dir)
+    db.delete("part", "p_size == 25")
+    db.update("part", "p_size < 10", {"p_size": "0"})
+    return db.table("part")
+
+
+@query("SELECT p_partkey::DOUBLE AS p_partkey, p_name, p_size FROM part UNION ALL SELECT -1, 'it''s new', 3 UNION ALL SELECT -2, '', 0")
+def inserted_rows(spark, sf_dir):
+    """Rows inserted into a stored relation; one is then cleared, which keeps the row."""
+    db = _stored_parts(spark, sf_dir)
+    db.insert("part", [(-1.0, "it's new", 3), (-2.0, "to be cleared", 9)])
+    db.update("part", "p_partkey == -2", {"p_name": "''", "p_size": "0"})
+    return db.table("part")
+
+
+@query("SELECT p_partkey::DOUBLE AS p_partkey, p_name, p_size FROM part WHERE p_partkey = 7")
+def stored_lookup(spark, sf_dir):
+    """A point lookup in a stored, analyzed relation."""
+    db = _stored_parts(spark, sf_dir)
+    analyze(db, "part")
+    return db.lookup("part", p_partkey=7.0)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def separated_text(spark, sf_dir):
+    """Separated text written, and read by a format of letters."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-text-{uuid.uuid4().hex[:8]}"
+    write_text(read_parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return read_text(spark, path, ["n_nationkey", "n_name", "n_regionkey"], "isi")
+
+
+@query("SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON (n_nationkey = s_nationkey AND n_regionkey = 1) OR (n_nationkey = s_nationkey AND s_acctbal < 0)")
+def join_disjunction(spark, sf_dir):
+    """A join on a disjunction with comparisons of columns: the optimizer takes out what both parts have."""
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    q = n.join(s, expr="(n_nationkey == s_nationkey and n_regionkey == 1) or (n_nationkey == s_nationkey and s_acctbal < 0)")
+    return q.select({"n_nationkey": "n_nationkey", "s_suppkey": "s_suppkey"}).finalize()
+
+
+@query("SELECT p_partkey, p_brand || p_type AS label, p_brand IS NOT NULL AS has_brand, (p_partkey * 9007199254740993 + 4) // 3 AS third, 7 - 10 * floor(7 / 10.0)::BIGINT AS rest FROM part WHERE p_partkey < 100")
+def joined_texts(spark, sf_dir):
+    """Texts joined by +, is not, and whole division beyond the range of doubles."""
+    exprs = {"p_partkey": "p_partkey", "label": "p_brand + p_type", "has_brand": "p_brand is not None", "third": "(p_partkey * 9007199254740993 + 4) // 3", "rest": "int(7 % 10)"}
+    return table(spark, sf_dir, "part").where("p_partkey < 100").select(exprs).finalize()

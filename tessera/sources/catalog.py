@@ -12,6 +12,10 @@ from tessera.operators.builder import Node, Query
 from tessera.schema import Schema
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Database:
     """Relations are Parquet tables of one catalog database; their declared schemas are table properties, so a database
     that is opened again knows them."""
@@ -35,7 +39,7 @@ class Database:
         if self.exists(schema.name):
             raise ValueError(f"{schema.name} exists")
         fields = ", ".join(f"`{f}` {k.spark.simpleString()}" for f, k in schema.fields)
-        self.spark.sql(f"CREATE TABLE {self._full(schema.name)} ({fields}) USING parquet TBLPROPERTIES ('{self.PROPERTY}' = '{schema.to_json()}')")
+        self.spark.sql(f"CREATE TABLE {self._full(schema.name)} ({fields}) USING parquet TBLPROPERTIES ('{self.PROPERTY}' = {_literal(schema.to_json())})")
 
     def drop(self, relation: str, missing_ok: bool = False) -> None:
         if not self.exists(relation):
@@ -53,6 +57,10 @@ class Database:
     def table(self, relation: str) -> DataFrame:
         return self.spark.table(f"{self.name}.{relation}")
 
+    def tuples(self, relation: str):
+        """An iterator over the relation's rows, a partition at a time."""
+        return self.table(relation).toLocalIterator()
+
     def query(self, relation: str) -> Query:
         return Query(self.table(relation), Node("TableScan", relation), self)
 
@@ -69,17 +77,20 @@ class Database:
         schema = self.describe(relation)
         self.create(Schema(staged, schema.fields))
         df.select(*schema.names).write.insertInto(f"{self.name}.{staged}")
-        self.spark.sql(f"DROP TABLE {self._full(relation)}")
+        old = f"{relation}_{uuid.uuid4().hex[:8]}_old"
+        # The old rows go last: a crash on the way loses a name, never rows.
+        self.spark.sql(f"ALTER TABLE {self._full(relation)} RENAME TO {self._full(old)}")
         self.spark.sql(f"ALTER TABLE {self._full(staged)} RENAME TO {self._full(relation)}")
-        self.spark.sql(f"ALTER TABLE {self._full(relation)} SET TBLPROPERTIES ('{self.PROPERTY}' = '{schema.to_json()}')")
+        self.spark.sql(f"ALTER TABLE {self._full(relation)} SET TBLPROPERTIES ('{self.PROPERTY}' = {_literal(schema.to_json())})")
+        self.spark.sql(f"DROP TABLE {self._full(old)}")
 
     def delete(self, relation: str, predicate: str | Column) -> None:
         """Rewrites the relation without the rows for which the predicate is true."""
-        self._rewrite(relation, self.table(relation).where(~F.coalesce(column(predicate), F.lit(False))))
+        self._rewrite(relation, self.table(relation).where(~F.coalesce(column(predicate, self.table(relation)), F.lit(False))))
 
     def update(self, relation: str, predicate: str | Column, values: dict[str, str | Column]) -> None:
-        kinds, hit = dict(self.describe(relation).fields), F.coalesce(column(predicate), F.lit(False))
-        new = {f: F.when(hit, kinds[f].fit(column(v))).otherwise(F.col(f)) for f, v in values.items()}
+        kinds, hit = dict(self.describe(relation).fields), F.coalesce(column(predicate, self.table(relation)), F.lit(False))
+        new = {f: F.when(hit, kinds[f].fit(column(v, self.table(relation)))).otherwise(F.col(f)) for f, v in values.items()}
         self._rewrite(relation, self.table(relation).withColumns(new))
 
     def clear(self, relation: str, predicate: str | Column) -> None:

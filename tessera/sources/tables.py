@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.builder import drawn
 from tessera.schema import Schema
 from tessera.sources.catalog import Database
 from tessera.types import date_number
@@ -60,6 +61,6 @@ def read_all(db: Database, relation: str) -> dict:
 
 
 def read_random(db: Database, relation: str, key: str, share: float, seed: int = 12345) -> DataFrame:
-    """The random workload: the rows of a drawn share of keys, by a semi join on them."""
-    keys = db.table(relation).select(key).distinct().sample(share, seed=seed)
+    """The random workload: the rows of a share of keys, drawn by a hash, by a semi join on them."""
+    keys = db.table(relation).select(key).distinct().where(drawn(seed, [key], share))
     return db.table(relation).join(keys, key, "left_semi")

@@ -197,3 +197,27 @@ def test_stream_of_files(spark, tmp_path):
 def test_math_functions(spark):
     r = spark.range(1).select(column("math.sqrt(16)").alias("a"), column("math.floor(2.5)").alias("b"), column("math.exp(0)").alias("c")).first()
     assert (r.a, r.b, r.c) == (4.0, 2, math.exp(0))
+
+
+def test_whole_division_signs_and_texts(spark):
+    rows = [(a, b) for a in (-9007199254740993, -7, 0, 7, 9007199254740993) for b in (-3, -1, 1, 3, 10)]
+    q = Query.of(spark.createDataFrame([(a, b, float(a % 100) / 4, "x", "y") for a, b in rows], "a long, b long, d double, s string, t string"))
+    got = q.select({"a": "a", "b": "b", "down": "a // b", "rest": "a % b", "d": "d", "half": "d // 0.5", "both": "s + t"}).finalize().collect()
+    for r in got:
+        assert (r.down, r.rest, r.half, r.both) == (r.a // r.b, r.a % r.b, r.d // 0.5, "xy")
+
+
+def test_costs_and_selectivity(spark):
+    q = Query.of(spark.range(10_000).selectExpr("id", "id % 10 AS k"))
+    assert q.cost()["bytes"] > 0 and 0.05 < q.selectivity("k == 3") < 0.15 and q.where("k == 99").selectivity("k == 3") == 0
+    doubled = q.map_batches(lambda batches: batches, "id long, k long")
+    assert doubled.finalize().count() == 10_000 and doubled.operators()[0] == "MapBatches"
+
+
+def test_a_rewrite_keeps_a_quoted_schema(spark):
+    db = Database(spark, "quoted")
+    db.create(Schema.of("r", [("it's", "int"), ('a"b', "char(5)")]))
+    db.insert("r", [(1, "x"), (2, "y")])
+    db.delete("r", F.col("it's") == 1)
+    assert [tuple(x) for x in db.tuples("r")] == [(2, "y")] and db.describe("r").names == ["it's", 'a"b'] and db.relations() == ["r"]
+    db.drop("r")
