@@ -23,7 +23,7 @@ from tessera.llm.common import free_name, short_batches, text_parts
 
 ENCODED = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())])
 #: Different matches whose ids a worker remembers at most; beyond that it forgets all and starts again.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Characters of texts that are split at once, and matches that the library encodes at once.
 TOGETHER, BATCH = 1 << 18, 4096
 
@@ -97,15 +97,14 @@ class Words:
             new = list(words)
         if not new:
             return
-        run = self.tokenizer.encode_batch if self.with_offsets else self.tokenizer.encode_batch_fast
         counts, ids, inner = [self.counts], [self.ids], [self.inner]
-        for a in range(0, len(new), BATCH):  # the library's results are far larger than what is kept of them
-            made = run(new[a : a + BATCH], add_special_tokens=False)
-            got = [e.ids for e in made]
-            counts.append(np.fromiter(map(len, got), np.int64, len(got)))
-            ids.append(np.fromiter(chain.from_iterable(got), "<u4"))
+        for a in range(0, len(new), BATCH):  # the matches come as words of one input, whose result is a few arrays
+            part = new[a : a + BATCH]
+            made = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            counts.append(np.bincount(np.array(made.word_ids, np.int64), minlength=len(part)))
+            ids.append(np.array(made.ids, "<u4"))
             if self.with_offsets:
-                inner.append(np.array([x for e in made for x in e.offsets], "<u4").reshape(-1, 2))
+                inner.append(np.array(made.offsets, "<u4").reshape(-1, 2))
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
         self.counts, self.ids, self.inner = np.concatenate(counts), np.concatenate(ids), np.concatenate(inner)
 
