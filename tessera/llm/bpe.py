@@ -23,7 +23,7 @@ from tessera.llm.common import free_name, short_batches, text_parts
 
 ENCODED = pa.schema([("n_tokens", pa.int64()), ("ids", pa.binary()), ("offsets", pa.binary())])
 #: Different matches whose ids a worker remembers at most; beyond that it forgets all and starts again.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Characters of texts that are split at once, and matches that the library encodes at once.
 TOGETHER, BATCH = 1 << 18, 4096
 
